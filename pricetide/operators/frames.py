@@ -53,16 +53,14 @@ def cut_points(df: DataFrame, rows_per_chunk: int, c: Cols = OBS) -> DataFrame:
 
 
 def _chunk_of(position: Column, cuts: Column, max_cuts: int) -> Column:
-    """How many cuts are at or before ``position``: a binary search over the array."""
+    """How many cuts are at or before ``position``, NULL without cuts: a binary search."""
     steps = [F.lit(1 << bit) for bit in reversed(range(max_cuts.bit_length()))]
 
     def advance(found: Column, step: Column) -> Column:
         fits = F.get(cuts, found + step - 1) <= position
         return F.when(fits, found + step).otherwise(found)
 
-    return F.when(cuts.isNull(), F.lit(0)).otherwise(
-        F.aggregate(F.array(*steps), F.lit(0), advance)
-    )
+    return F.when(cuts.isNotNull(), F.aggregate(F.array(*steps), F.lit(0), advance))
 
 
 def over_rows(
@@ -92,22 +90,26 @@ def over_rows(
     chunked = (
         df.join(cuts, F.col(c.symbol).eqNullSafe(F.col("_symbol")), "left")
         .withColumn("_chunk", _chunk_of(position, F.col("_cuts"), max_cuts))
-        .withColumn("_hot", F.col("_cuts").isNotNull())
         .drop("_symbol", "_cuts")
     )
     local = Window.partitionBy(c.symbol, "_chunk").orderBy(*order)
+    # Counts the rows of a chunk up to this one; 0 throughout symbols without cuts. As
+    # a window result it also keeps the filters below above the shuffle, so that both
+    # branches read the same one.
+    row_in_chunk = F.count("_chunk").over(local.rowsBetween(Window.unboundedPreceding, 0))
     body = (
         add_columns(chunked, local)
-        .withColumn("_row", F.row_number().over(local))
+        .withColumn("_row", row_in_chunk)
         .withColumn("_tail", F.lead(F.lit(1), lookback).over(local).isNull())
     )
-    starved = (F.col("_chunk") > 0) & (F.col("_row") <= lookback)
+    at_start = F.col("_row").between(1, lookback)
+    starved = F.coalesce(at_start & (F.col("_chunk") > 0), F.lit(False))
     complete = body.filter(~starved)
 
     seams = (
-        body.filter(F.col("_hot") & ((F.col("_row") <= lookback) | F.col("_tail")))
+        body.filter((F.col("_row") > 0) & (at_start | F.col("_tail")))
         .withColumn("_starved", starved)
         .select(*df.columns, "_starved")
     )
     repaired = add_columns(seams, plain).filter("_starved")
-    return complete.drop("_chunk", "_hot", "_row", "_tail").unionByName(repaired.drop("_starved"))
+    return complete.drop("_chunk", "_row", "_tail").unionByName(repaired.drop("_starved"))

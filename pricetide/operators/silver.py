@@ -82,12 +82,12 @@ def quality_gate(
     With an ``observation``, ``rows_in`` and ``rows_dropped`` arrive with the first
     action on the result, so no extra pass counts them.
     """
-    ok = F.coalesce(passes_gate(c, allow_empty_symbol), F.lit(False))
+    ok = passes_gate(c, allow_empty_symbol)
     if observation is not None:
         df = df.observe(
             observation,
             F.count(F.lit(1)).alias("rows_in"),
-            F.count_if(~ok).alias("rows_dropped"),
+            F.count_if(~F.coalesce(ok, F.lit(False))).alias("rows_dropped"),
         )
     return df.filter(ok)
 

@@ -81,10 +81,14 @@ scored AS (
   FROM obs
 )"""
 
-_VOLATILITY_COLUMNS = """
-  ROUND(STDDEV_SAMP(price), 6) AS price_stddev, ROUND(AVG(price), 6) AS avg_price,
-  ROUND((MAX(price) - MIN(price)) / NULLIF(AVG(price), 0) * 100.0, 6) AS price_range_pct,
-  ROUND(STDDEV_SAMP(price) / NULLIF(AVG(price), 0) * 100.0, 6) AS volatility_pct"""
+
+
+def _volatility(digits: int) -> str:
+    return f"""
+  ROUND(STDDEV_SAMP(price), {digits}) AS price_stddev, ROUND(AVG(price), {digits}) AS avg_price,
+  ROUND((MAX(price) - MIN(price)) / NULLIF(AVG(price), 0) * 100.0, {digits}) AS price_range_pct,
+  ROUND(STDDEV_SAMP(price) / NULLIF(AVG(price), 0) * 100.0, {digits}) AS volatility_pct"""
+
 
 _HISTORY_STATS = """
   ROUND(AVG(price), 6) AS avg_price, MAX(price) AS max_price, MIN(price) AS min_price"""
@@ -242,7 +246,7 @@ stored AS (SELECT * FROM obs WHERE observed_at < TIMESTAMP '2024-01-20 00:00:00'
         _EVENTS, select="SELECT observed_at, symbol, price, volume_24h, market_cap FROM obs"
     ),
     "volatility": _with(
-        _EVENTS, select=f"SELECT symbol, {_VOLATILITY_COLUMNS} FROM obs GROUP BY symbol"
+        _EVENTS, select=f"SELECT symbol, {_volatility(6)} FROM obs GROUP BY symbol"
     ),
     "price_changes": _with(
         _EVENTS,
@@ -283,7 +287,7 @@ stored AS (SELECT * FROM obs WHERE observed_at < TIMESTAMP '2024-01-20 00:00:00'
     "volatility_windowed": _with(
         _EVENTS,
         select=f"""SELECT time_bucket(INTERVAL '6 hours', observed_at) AS window_start, symbol,
-          {_VOLATILITY_COLUMNS} FROM obs GROUP BY 1, 2""",
+          {_volatility(7)} FROM obs GROUP BY 1, 2""",
     ),
     "spread": _with(
         _EVENTS,
@@ -355,7 +359,7 @@ cells AS (SELECT symbol, time_bucket(INTERVAL '6 hours', observed_at) AS observe
     "price_ma_series": _MOVING_AVERAGES + " ORDER BY observed_at, symbol",
     "volatility_ranking": _with(
         _EVENTS,
-        select=f"""SELECT symbol, {_VOLATILITY_COLUMNS} FROM obs GROUP BY symbol
+        select=f"""SELECT symbol, {_volatility(6)} FROM obs GROUP BY symbol
           ORDER BY volatility_pct DESC NULLS LAST""",
     ),
     "dominance_ranking": _with(

@@ -44,6 +44,11 @@ def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_landing(spark, standin.land_events(spark, sf_dir))
 
 
+def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Written once, as silver would be: the queries read it more than once.
+    return stage(standin.market(spark, sf_dir), "market")
+
+
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     bronze_rows = bronze.to_bronze(_landed(spark, sf_dir))
     return silver.flatten_assets(silver.explode_assets(bronze_rows))
@@ -178,13 +183,13 @@ def dedupe_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.latest_snapshot(standin.market(spark, sf_dir)).select(
+    return snapshot.latest_snapshot(_market(spark, sf_dir)).select(
         "symbol", "price", "market_cap", "volume_24h", "observed_at"
     )
 
 
 def top_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.top_assets(standin.market(spark, sf_dir))
+    return snapshot.top_assets(_market(spark, sf_dir))
 
 
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +218,7 @@ def moving_average_30(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def momentum_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.momentum(standin.market(spark, sf_dir), digits=6)
+    return indicators.momentum(_market(spark, sf_dir), digits=6)
 
 
 def momentum_rsi_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,16 +235,16 @@ def indicator_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.market_dominance(standin.market(spark, sf_dir), digits=6)
+    return snapshot.market_dominance(_market(spark, sf_dir), digits=6)
 
 
 def liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.liquidity(standin.market(spark, sf_dir), digits=FINE)
+    return snapshot.liquidity(_market(spark, sf_dir), digits=FINE)
 
 
 def _anomalies(side: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = standin.market(spark, sf_dir)
+        rows = _market(spark, sf_dir)
         return anomalies.anomalies(rows, side=side, z_digits=6, avg_digits=6)
 
     return run
@@ -255,7 +260,7 @@ def history_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def volatility_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.windowed_volatility(
-        standin.events(spark, sf_dir), "6 hours", raw_digits=6, pct_digits=6
+        standin.events(spark, sf_dir), "6 hours", raw_digits=7, pct_digits=7
     )
 
 
@@ -264,7 +269,7 @@ def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlation.correlation_pairs(standin.market(spark, sf_dir))
+    return correlation.correlation_pairs(_market(spark, sf_dir))
 
 
 def correlation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,12 +295,12 @@ def layer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layer_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = standin.events(spark, sf_dir)
     return quality.layer_symbols(
-        {"events": rows, "top_assets": snapshot.top_assets(standin.market(spark, sf_dir))}
+        {"events": rows, "top_assets": snapshot.top_assets(_market(spark, sf_dir))}
     )
 
 
 def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    served = rename_columns(snapshot.top_assets(standin.market(spark, sf_dir)))
+    served = rename_columns(snapshot.top_assets(_market(spark, sf_dir)))
     return served.select(
         "id", "symbol", "price_usd", "market_cap_usd",
         "volume_usd_24hr", "change_percent_24hr", "ingestion_time",
@@ -306,7 +311,7 @@ def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.symbol_list(snapshot.top_assets(standin.market(spark, sf_dir)))
+    return dashboard.symbol_list(snapshot.top_assets(_market(spark, sf_dir)))
 
 
 def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,17 +320,17 @@ def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = snapshot.top_assets(standin.market(spark, sf_dir))
+    top = snapshot.top_assets(_market(spark, sf_dir))
     return dashboard.snapshot_table(top, ["Brand#4", "Brand#12", "Brand#19", "Brand#21"])
 
 
 def total_market_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = snapshot.top_assets(standin.market(spark, sf_dir))
+    top = snapshot.top_assets(_market(spark, sf_dir))
     return dashboard.total_market_cap(top).withColumn("value", F.round("value", 2))
 
 
 def total_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = snapshot.top_assets(standin.market(spark, sf_dir))
+    top = snapshot.top_assets(_market(spark, sf_dir))
     return dashboard.total_volume(top).withColumn("value", F.round("value", 2))
 
 
@@ -340,12 +345,12 @@ def volatility_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dominance_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = snapshot.market_dominance(standin.market(spark, sf_dir), digits=6)
+    rows = snapshot.market_dominance(_market(spark, sf_dir), digits=6)
     return dashboard.dominance_ranking(rows, detail=True)
 
 
 def liquidity_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = snapshot.liquidity(standin.market(spark, sf_dir), digits=FINE)
+    rows = snapshot.liquidity(_market(spark, sf_dir), digits=FINE)
     return dashboard.liquidity_ranking(rows, detail=True)
 
 
@@ -376,7 +381,7 @@ def series_last_max_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = standin.market(spark, sf_dir)
+    rows = _market(spark, sf_dir)
     bands = dashboard.risk_bands(
         history.volatility(rows, pct_digits=4), snapshot.liquidity(rows, digits=4)
     )

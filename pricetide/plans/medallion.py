@@ -13,7 +13,7 @@ from pricetide.operators.quality import enforce_quality, quality_report
 from pricetide.operators.silver import newer_than, not_stored, to_silver
 from pricetide.plans.kpis import all_kpis
 from pricetide.schema import BRONZE, OBSERVATION
-from pricetide.session import stage
+from pricetide.session import observed_counts, stage
 from pricetide.sinks import append_bronze, append_silver, overwrite_parquet, write_report
 from pricetide.sources import landing_files, read_landing, read_table, read_table_or_none
 
@@ -60,7 +60,7 @@ def refresh_bronze(
     observed = Observation("bronze")
     batch = to_bronze(unprocessed(landing, known))
     append_bronze(batch.observe(observed, F.count(F.lit(1)).alias("rows")), layout.bronze)
-    return observed.get["rows"]
+    return observed_counts(observed, "rows")["rows"]
 
 
 def refresh_silver(
@@ -89,7 +89,10 @@ def refresh_silver(
         clean = not_stored(clean, stored, lookback_days)
     counted = clean.observe(written, F.count(F.lit(1)).alias("rows_written"))
     append_silver(counted, layout.silver)
-    return {**gate.get, **written.get}
+    return {
+        **observed_counts(gate, "rows_in", "rows_dropped"),
+        **observed_counts(written, "rows_written"),
+    }
 
 
 def check_silver(spark: SparkSession, layout: Layout) -> dict:

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -77,3 +78,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def observed_counts(observation: Observation, *names: str) -> dict[str, int]:
+    """The counts of an observation whose action has succeeded.
+
+    Spark drops an observation together with a plan it finds empty at run time, and its
+    row then has no fields: every count is 0.
+    """
+    try:
+        counts = observation.get
+    except Py4JJavaError:
+        return dict.fromkeys(names, 0)
+    return {name: counts[name] for name in names}

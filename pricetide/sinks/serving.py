@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricetide.session import observed_counts
+
 # Fixed serving column names, for camelCase inputs and for this package's own names.
 SERVING_NAMES = {
     "priceUsd": "price_usd",
@@ -104,7 +106,8 @@ def load_tables(
         except Exception as error:  # noqa: BLE001 - reported per table
             results.append((f"{prefix}{name}", False, None, str(error)))
         else:
-            results.append((f"{prefix}{name}", True, observed.get["row_count"], None))
+            rows = observed_counts(observed, "row_count")["row_count"]
+            results.append((f"{prefix}{name}", True, rows, None))
     return spark.createDataFrame(results, LOAD_RESULT)
 
 
