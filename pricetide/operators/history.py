@@ -80,20 +80,24 @@ def spread(
     )
 
 
-def candles(df: DataFrame, duration: str = "15 minutes", c: Cols = OBS) -> DataFrame:
+def candles(
+    df: DataFrame, duration: str = "15 minutes", break_ties: bool = False, c: Cols = OBS
+) -> DataFrame:
     """Open, high, low and close per symbol and bucket.
 
-    Open and close are the earliest and latest price by time. Ordering by the time alone
-    keeps the aggregate hash-based; a symbol's times are unique in deduplicated silver.
+    Open and close are the earliest and latest price by time, which keeps the aggregate
+    hash-based. ``break_ties`` orders equal times by asset, for symbols that several
+    assets share; Spark then aggregates by sorting.
     """
+    order = F.struct(*c.order) if break_ties else F.col(c.time)
     return _by_window(
         df,
         duration,
         [
             F.min(c.price).alias("low"),
             F.max(c.price).alias("high"),
-            F.min_by(c.price, c.time).alias("open"),
-            F.max_by(c.price, c.time).alias("close"),
+            F.min_by(c.price, order).alias("open"),
+            F.max_by(c.price, order).alias("close"),
         ],
         c,
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,7 +43,7 @@ def in_time_range(
 
     The bounds are literals of the column's own type, so they are pushed to the scan.
     """
-    end = end or now or datetime.now()
+    end = end or now or datetime.now(UTC).replace(tzinfo=None)
     start = start or end - DEFAULT_RANGE
     dtype = df.schema[c.time].dataType
 
@@ -158,7 +158,7 @@ def candle_series(
     symbols: Sequence[str] | None = None,
     c: Cols = OBS,
 ) -> DataFrame:
-    candles = history.candles(with_symbols(history_rows, symbols, c), duration, c)
+    candles = history.candles(with_symbols(history_rows, symbols, c), duration, c=c)
     return candles.orderBy("window_start", c.symbol)
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.operators.bronze import to_bronze, unprocessed
+from pricetide.operators.bronze import distinct_sources, to_bronze, unprocessed
 from pricetide.operators.indicators import indicators
 from pricetide.operators.quality import enforce_quality, quality_report
 from pricetide.operators.silver import newer_than, not_stored, to_silver
@@ -18,6 +19,11 @@ from pricetide.sinks import append_bronze, append_silver, overwrite_parquet, wri
 from pricetide.sources import landing_files, read_landing, read_table, read_table_or_none
 
 
+# An incremental run names at most this many new files to the reader.
+MAX_NAMED_FILES = 10_000
+PLAIN_PATH = re.compile(r"[\w./:=+-]+")
+
+
 @dataclass(frozen=True)
 class Layout:
     """Folders of one lakehouse."""
@@ -48,18 +54,35 @@ class Layout:
 
 
 def refresh_bronze(
-    spark: SparkSession, layout: Layout, modified_after: str | None = None
+    spark: SparkSession,
+    layout: Layout,
+    modified_after: str | None = None,
+    max_named_files: int = MAX_NAMED_FILES,
 ) -> int:
-    """Append the snapshots of files not ingested yet; returns how many."""
+    """Append the snapshots of files not ingested yet; returns how many.
+
+    The listing alone tells which files are new. Up to ``max_named_files`` of them are
+    read by name, so an incremental run does not parse the rest of the landing folder;
+    beyond that, or with names a path pattern could misread, all files are read and the
+    known ones drop out in an anti join.
+    """
     known = read_table_or_none(spark, layout.bronze, BRONZE)
-    # The file listing alone tells whether there is anything to parse.
-    files = landing_files(spark, layout.landing, modified_after)
-    if unprocessed(files, known).isEmpty():
+    if known is not None:
+        # Written, so that Catalyst knows whether the file list is small enough to send.
+        known = stage(distinct_sources(known), "known-files")
+    files = unprocessed(landing_files(spark, layout.landing, modified_after), known)
+    names = [row["source_file"] for row in files.limit(max_named_files + 1).collect()]
+    if not names:
         return 0
-    landing = read_landing(spark, layout.landing, modified_after=modified_after)
+    if len(names) <= max_named_files and all(PLAIN_PATH.fullmatch(n) for n in names):
+        landing = read_landing(spark, names)
+    else:
+        landing = unprocessed(
+            read_landing(spark, layout.landing, modified_after=modified_after), known
+        )
     observed = Observation("bronze")
-    batch = to_bronze(unprocessed(landing, known))
-    append_bronze(batch.observe(observed, F.count(F.lit(1)).alias("rows")), layout.bronze)
+    counted = to_bronze(landing).observe(observed, F.count(F.lit(1)).alias("rows"))
+    append_bronze(counted, layout.bronze)
     return observed_counts(observed, "rows")["rows"]
 
 

@@ -1,6 +1,7 @@
 from pricetide.streaming.queries import (  # noqa: F401
     start_batches,
     start_parquet,
+    start_serving,
     stream_anomalies,
     stream_bronze,
     stream_candles,

@@ -13,6 +13,7 @@ from pricetide.operators.anomalies import THRESHOLD, exceeds
 from pricetide.operators.bronze import to_bronze
 from pricetide.operators.history import candles
 from pricetide.schema import OBS, Cols
+from pricetide.sinks.serving import WriteTable, rename_columns
 from pricetide.sources import stream_landing
 
 
@@ -43,6 +44,21 @@ def start_batches(
     )
 
 
+def start_serving(
+    df: DataFrame, table: str, write: WriteTable, checkpoint: str
+) -> StreamingQuery:
+    """Load each micro-batch into a serving table under the serving column names.
+
+    A writer that overwrites keeps the last batch, as a current-snapshot table wants. One
+    that appends delivers at least once: a batch that comes again is appended again.
+    """
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        write(rename_columns(batch), table)
+
+    return start_batches(df, load, checkpoint)
+
+
 def stream_bronze(
     spark: SparkSession, landing: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
@@ -70,7 +86,7 @@ def stream_candles(
     c: Cols = OBS,
 ) -> DataFrame:
     """Candles, each emitted once its window is past the watermark."""
-    return candles(observations.withWatermark(c.time, delay), duration, c)
+    return candles(observations.withWatermark(c.time, delay), duration, c=c)
 
 
 def stream_anomalies(

@@ -135,6 +135,8 @@ def test_candles(obs):
     assert values(history.candles(rows), "window_start", "open", "high", "low", "close") == [
         (minutes(0), 2.0, 9.0, 1.0, 4.0), (minutes(15), 5.0, 5.0, 5.0, 5.0),
     ]
+    tied = obs([("y", "A", 0, 2.0), ("x", "A", 0, 1.0), ("z", "A", 0, 3.0)])
+    assert values(history.candles(tied, break_ties=True), "open", "close") == [(1.0, 3.0)]
     spread = history.spread(rows, "15 minutes")
     assert values(spread, "window_start", "spread") == [(minutes(0), 8.0), (minutes(15), 0.0)]
 

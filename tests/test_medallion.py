@@ -81,3 +81,21 @@ def test_same_content_in_two_files_is_stored_once(spark, tmp_path, land):
     assert medallion.refresh_bronze(spark, layout) == 2
     assert medallion.refresh_silver(spark, layout)["rows_written"] == 1
     assert values(silver(spark, layout), "price") == [(2.0,)]
+
+
+@pytest.mark.parametrize(("folder", "limit"), [("landing", 10), ("landing", 1), ("land ing", 10)])
+def test_named_and_listed_files_ingest_alike(spark, tmp_path, land, folder, limit):
+    class Odd(medallion.Layout):
+        @property
+        def landing(self):
+            return self.folder(folder)
+
+    layout = Odd(str(tmp_path))
+    for i in range(3):
+        land(layout.landing, f"first{i}", START + i, [asset()])
+    assert medallion.refresh_bronze(spark, layout, max_named_files=limit) == 3
+    land(layout.landing, "second", START + 9, [asset()])
+    assert medallion.refresh_bronze(spark, layout, max_named_files=limit) == 1
+    assert medallion.refresh_bronze(spark, layout, max_named_files=limit) == 0
+    bronze = spark.read.parquet(layout.bronze)
+    assert bronze.select("source_file").distinct().count() == bronze.count() == 4

@@ -3,6 +3,7 @@ from pricetide.operators import anomalies, history
 from pricetide.streaming import (
     start_batches,
     start_parquet,
+    start_serving,
     stream_anomalies,
     stream_bronze,
     stream_candles,
@@ -81,3 +82,14 @@ def test_batches_reach_the_serving_writer(spark, tmp_path, obs):
 
     start_batches(stream, write, str(tmp_path / "ckpt")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_serving_loads_each_batch_under_serving_names(spark, tmp_path, obs):
+    stream = stream_of(spark, obs([("a", "A", 0, 1.0)]), tmp_path / "in")
+
+    def write(batch, table):
+        batch.write.mode("overwrite").parquet(str(tmp_path / table))
+
+    start_serving(stream, "crypto_prices", write, str(tmp_path / "ckpt")).awaitTermination()
+    served = spark.read.parquet(str(tmp_path / "crypto_prices"))
+    assert values(served, "id", "price_usd") == [("a", 1.0)]
