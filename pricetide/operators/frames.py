@@ -42,9 +42,8 @@ def cut_points(df: DataFrame, rows_per_chunk: int, c: Cols = OBS) -> DataFrame:
     sampled = (
         df.filter(F.pmod(F.xxhash64(c.symbol, *c.order), F.lit(stride)) == 0)
         .select(F.col(c.symbol).alias("_symbol"), F.struct(*c.order).alias("_at"))
-        .distinct()
     )
-    positions = sampled.groupBy("_symbol").agg(F.sort_array(F.collect_list("_at")).alias("_all"))
+    positions = sampled.groupBy("_symbol").agg(F.sort_array(F.collect_set("_at")).alias("_all"))
     hot = positions.filter(F.size("_all") >= 2 * per_chunk)
     every = F.sequence(F.lit(per_chunk), F.size("_all") - 1, F.lit(per_chunk))
     return hot.select(

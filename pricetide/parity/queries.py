@@ -12,7 +12,7 @@ from pricetide.functions import anomaly_label, as_ntz, epoch_ms_to_timestamp, sa
 from pricetide.operators import anomalies, bronze, correlation, history, indicators
 from pricetide.operators import quality, silver, snapshot
 from pricetide.plans import dashboard
-from pricetide.session import scratch_path, stage
+from pricetide.session import configure, scratch_path, stage
 from pricetide.sinks import rename_columns
 from pricetide.sources import (
     landing_files,
@@ -40,8 +40,27 @@ LATE_SYMBOL = "signup"
 BRONZE_UNTIL = "2024-01-15 00:00:00"
 
 
+_folders: dict[tuple, str] = {}
+
+
+def _written(write: Callable[[SparkSession, str], str]) -> Callable[[SparkSession, str], str]:
+    """The input folder ``write`` makes, written once per application and table set."""
+
+    def folder(spark: SparkSession, sf_dir: str) -> str:
+        key = (write.__name__, spark.sparkContext.applicationId, sf_dir)
+        if key not in _folders:
+            _folders[key] = write(spark, sf_dir)
+        return _folders[key]
+
+    return folder
+
+
+landing_folder = _written(standin.land_events)
+payload_folder = _written(standin.land_payloads)
+
+
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_landing(spark, standin.land_events(spark, sf_dir))
+    return read_landing(configure(spark), landing_folder(spark, sf_dir))
 
 
 def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +92,7 @@ def landing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = read_payload(spark, standin.land_payloads(spark, sf_dir))
+    raw = read_payload(spark, payload_folder(spark, sf_dir))
     assets = normalize_payload(raw).select("timestamp", F.explode("data").alias("a"))
     return assets.select(
         "timestamp",
@@ -114,7 +133,7 @@ def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = landing_files(spark, standin.land_events(spark, sf_dir))
+    files = landing_files(spark, landing_folder(spark, sf_dir))
     return files.select(_file_batch().alias("batch"))
 
 
@@ -146,7 +165,7 @@ def late_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_json_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = standin.land_events(spark, sf_dir)
+    path = landing_folder(spark, sf_dir)
     text = read_landing(spark, path, data_as="text")
     assets = silver.explode_assets(silver.parse_assets(text))
     return assets.select("timestamp", "asset.id", "asset.rank", "asset.symbol", "asset.name")
@@ -422,7 +441,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_bronze_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = standin.land_events(spark, sf_dir)
+    path = landing_folder(spark, sf_dir)
     written = _drain(stream_bronze(spark, path))
     return written.select(
         "timestamp",
@@ -432,7 +451,7 @@ def stream_bronze_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_dedupe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = standin.land_events(spark, sf_dir)
+    path = landing_folder(spark, sf_dir)
     flat = silver.flatten_assets(silver.explode_assets(stream_bronze(spark, path)))
     unique = stream_dedupe(flat, keys=("rank", "observed_at"))
     return _observation_columns(_drain(unique))

@@ -39,27 +39,33 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly observations per brand; decimal sums make them exact."""
+    """Monthly observations per brand; sums of whole cents make them exact."""
 
-    def money(name: str) -> Column:
-        return F.col(name).cast("decimal(18,2)")
+    def cents(name: str) -> Column:
+        return F.sum(F.rint(F.col(name) * F.lit(100.0)).cast("long"))
 
-    def total(column: Column) -> Column:
-        return F.sum(column).cast("double")
+    def units(total: str) -> Column:
+        return F.col(total) / F.lit(100.0)
 
     lineitem = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
-    volume, quantity = total(money("l_extendedprice")), total(money("l_quantity"))
     monthly = (
         lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(
             F.col("p_brand").alias("symbol"),
-            F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("observed_at"),
+            F.trunc(F.col("l_shipdate").cast("date"), "month").alias("_month"),
         )
         .agg(
-            volume.alias("volume_24h"),
-            quantity.alias("_quantity"),
-            total(money("p_retailprice") * F.lit(1000)).alias("market_cap"),
+            cents("l_extendedprice").alias("_volume"),
+            cents("l_quantity").alias("_quantity"),
+            cents("p_retailprice").alias("_retail"),
+        )
+        .select(
+            "symbol",
+            F.col("_month").cast("timestamp_ntz").alias("observed_at"),
+            units("_volume").alias("volume_24h"),
+            units("_quantity").alias("_quantity"),
+            (F.col("_retail") * F.lit(10)).cast("double").alias("market_cap"),
         )
     )
     return monthly.select(
