@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions import rounded, z_score
+from pricetide.operators.history import price_summary
 from pricetide.operators.keyed import with_key_stats
 from pricetide.schema import OBS, Cols
 
@@ -13,9 +14,13 @@ THRESHOLD = 2.0
 
 
 def price_stats(df: DataFrame, c: Cols = OBS) -> DataFrame:
-    """Mean and sample deviation per symbol; partial aggregation absorbs hot symbols."""
-    return df.groupBy(c.symbol).agg(
-        F.avg(c.price).alias("global_avg"), F.stddev(c.price).alias("global_std")
+    """Mean and sample deviation per symbol, under the names the scores use."""
+    return stats_of(price_summary(df, c), c)
+
+
+def stats_of(summary: DataFrame, c: Cols = OBS) -> DataFrame:
+    return summary.select(
+        c.symbol, F.col("avg_price").alias("global_avg"), F.col("price_stddev").alias("global_std")
     )
 
 
@@ -28,8 +33,11 @@ def exceeds(z: Column, threshold: float, side: str) -> Column:
     raise ValueError(f"side must be 'upper' or 'both', not {side!r}")
 
 
-def _scored(df: DataFrame, c: Cols) -> DataFrame:
-    joined = with_key_stats(df, price_stats(df, c), c.symbol)
+def _scored(df: DataFrame, c: Cols, summary: DataFrame | None = None) -> DataFrame:
+    if summary is None:
+        joined = with_key_stats(df, price_stats(df, c), c.symbol)
+    else:
+        joined = df.join(stats_of(summary, c), c.symbol)
     return joined.withColumn(
         "_z", z_score(F.col(c.price), F.col("global_avg"), F.col("global_std"))
     )
@@ -41,13 +49,15 @@ def anomalies(
     threshold: float = THRESHOLD,
     z_digits: int | None = 4,
     avg_digits: int | None = None,
+    summary: DataFrame | None = None,
     c: Cols = OBS,
 ) -> DataFrame:
     """Rows whose rounded z-score over the symbol's whole history passes ``threshold``.
 
-    A single-row or constant series has no z-score and no anomalies.
+    A single-row or constant series has no z-score and no anomalies. ``summary`` is a
+    stored :func:`history.price_summary` to use instead of computing one.
     """
-    scored = _scored(df, c).withColumn("z_score", rounded(F.col("_z"), z_digits))
+    scored = _scored(df, c, summary).withColumn("z_score", rounded(F.col("_z"), z_digits))
     return scored.filter(exceeds(F.col("z_score"), threshold, side)).select(
         c.time,
         c.symbol,

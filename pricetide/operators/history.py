@@ -14,9 +14,18 @@ def price_history(df: DataFrame, c: Cols = OBS) -> DataFrame:
     return df.select(c.time, c.symbol, c.price, c.volume, c.market_cap)
 
 
-def _dispersion(price: str, raw_digits: int | None, pct_digits: int | None) -> list[Column]:
-    stddev, mean = F.stddev(price), F.avg(price)
-    spread = F.max(price) - F.min(price)
+def _moments(price: str) -> list[Column]:
+    return [
+        F.stddev(price).alias("price_stddev"),
+        F.avg(price).alias("avg_price"),
+        F.max(price).alias("max_price"),
+        F.min(price).alias("min_price"),
+    ]
+
+
+def _dispersion(raw_digits: int | None, pct_digits: int | None) -> list[Column]:
+    stddev, mean = F.col("price_stddev"), F.col("avg_price")
+    spread = F.col("max_price") - F.col("min_price")
     return [
         rounded(stddev, raw_digits).alias("price_stddev"),
         rounded(mean, raw_digits).alias("avg_price"),
@@ -25,6 +34,29 @@ def _dispersion(price: str, raw_digits: int | None, pct_digits: int | None) -> l
     ]
 
 
+def price_summary(df: DataFrame, c: Cols = OBS) -> DataFrame:
+    """Sample deviation, mean, highest and lowest price per symbol.
+
+    Partial aggregation absorbs hot symbols. Volatility, history statistics and z-scores
+    are all functions of this table.
+    """
+    return df.groupBy(c.symbol).agg(*_moments(c.price))
+
+
+def volatility_of(
+    summary: DataFrame,
+    raw_digits: int | None = None,
+    pct_digits: int | None = 4,
+    c: Cols = OBS,
+) -> DataFrame:
+    return summary.select(c.symbol, *_dispersion(raw_digits, pct_digits))
+
+
+def history_stats_of(summary: DataFrame, digits: int | None = None, c: Cols = OBS) -> DataFrame:
+    mean = rounded(F.col("avg_price"), digits).alias("avg_price")
+    return summary.select(c.symbol, mean, "max_price", "min_price")
+
+
 def volatility(
     df: DataFrame,
     raw_digits: int | None = None,
@@ -32,16 +64,12 @@ def volatility(
     c: Cols = OBS,
 ) -> DataFrame:
     """Sample deviation, mean, range and coefficient of variation per symbol."""
-    return df.groupBy(c.symbol).agg(*_dispersion(c.price, raw_digits, pct_digits))
+    return volatility_of(price_summary(df, c), raw_digits, pct_digits, c)
 
 
 def history_stats(df: DataFrame, digits: int | None = None, c: Cols = OBS) -> DataFrame:
     """Mean, highest and lowest price per symbol."""
-    return df.groupBy(c.symbol).agg(
-        rounded(F.avg(c.price), digits).alias("avg_price"),
-        F.max(c.price).alias("max_price"),
-        F.min(c.price).alias("min_price"),
-    )
+    return history_stats_of(price_summary(df, c), digits, c)
 
 
 def _by_window(df: DataFrame, duration: str, aggregates: list[Column], c: Cols) -> DataFrame:
@@ -60,7 +88,8 @@ def windowed_volatility(
     c: Cols = OBS,
 ) -> DataFrame:
     """:func:`volatility` per symbol and tumbling time window."""
-    return _by_window(df, duration, _dispersion(c.price, raw_digits, pct_digits), c)
+    windows = _by_window(df, duration, _moments(c.price), c)
+    return windows.select("window_start", c.symbol, *_dispersion(raw_digits, pct_digits))
 
 
 def spread(

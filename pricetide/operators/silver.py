@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricetide.functions import safe_double, safe_int
+from pricetide.operators.newest import newest_time
 from pricetide.schema import ASSETS, OBS, Cols
 
 
@@ -114,8 +115,8 @@ def newer_than(
     batch: DataFrame,
     stored: DataFrame | None,
     time: str = "observed_at",
-    stored_time: str = "observed_at",
     lookback_days: int = 0,
+    c: Cols = OBS,
 ) -> DataFrame:
     """Rows of ``batch`` after the newest stored time, less the look-back.
 
@@ -124,16 +125,17 @@ def newer_than(
     """
     if stored is None:
         return batch
-    return batch.filter(F.col(time) > _floor(stored, stored_time, lookback_days).scalar())
+    return batch.filter(F.col(time) > _floor(stored, lookback_days, c).scalar())
 
 
-def _floor(stored: DataFrame, stored_time: str, lookback_days: int) -> DataFrame:
-    newest = F.max(stored_time)
+def _floor(stored: DataFrame, lookback_days: int, c: Cols) -> DataFrame:
+    newest = F.col("newest")
     if lookback_days:
         newest = newest - F.make_dt_interval(F.lit(lookback_days))
     # Before any time, so that an empty stored table makes everything new.
-    dawn = F.lit("0001-01-01").cast(stored.schema[stored_time].dataType)
-    return stored.agg(F.coalesce(newest, dawn).alias("floor"))
+    dawn = F.lit("0001-01-01").cast(stored.schema[c.time].dataType)
+    found = newest_time(stored, c.time, c.date)
+    return found.select(F.coalesce(newest, dawn).alias("floor"))
 
 
 def not_stored(
@@ -148,7 +150,7 @@ def not_stored(
     """
     if stored is None:
         return batch
-    floor = _floor(stored, c.time, lookback_days)
+    floor = _floor(stored, lookback_days, c)
     recent = stored.filter(F.col(c.time) > floor.scalar())
     if c.date in stored.columns:
         first_day = floor.select(F.to_date("floor").alias("first_day")).scalar()
@@ -172,9 +174,9 @@ def since_watermark(
     leaves out only the rows already stored under the same asset and time.
     """
     if late == "drop":
-        return newer_than(batch, stored, c.time, c.time)
+        return newer_than(batch, stored, c.time, c=c)
     if late == "admit":
-        recent = newer_than(batch, stored, c.time, c.time, lookback_days)
+        recent = newer_than(batch, stored, c.time, lookback_days, c)
         return not_stored(recent, stored, lookback_days, c)
     raise ValueError(f"late must be 'drop' or 'admit', not {late!r}")
 

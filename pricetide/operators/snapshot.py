@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions import percent_of, rounded
+from pricetide.operators.newest import latest_partition, newest_time
 from pricetide.schema import OBS, Cols
 
 
@@ -13,10 +14,11 @@ def latest_snapshot(df: DataFrame, c: Cols = OBS) -> DataFrame:
     """Rows at the newest time of the whole table.
 
     An asset missing from the last poll is not in the result. The newest time is a
-    scalar subquery, pushed into the scan.
+    scalar subquery, pushed into the scan; with a date partition, only the newest one
+    is read.
     """
-    newest = df.agg(F.max(c.time).alias("newest")).scalar()
-    return df.filter(F.col(c.time) == newest)
+    newest = newest_time(df, c.time, c.date).scalar()
+    return latest_partition(df, c.date).filter(F.col(c.time) == newest)
 
 
 def top_assets(df: DataFrame, n: int | None = None, c: Cols = OBS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pricetide.operators import anomalies as anomaly_ops
 from pricetide.operators import correlation, history, indicators, snapshot
 from pricetide.schema import OBS, Cols
+from pricetide.session import stage
 
 # Projections of the shared indicator table that are KPI tables of their own.
 INDICATOR_TABLES: Mapping[str, tuple[str, ...]] = {
@@ -28,26 +29,32 @@ def from_indicators(table: DataFrame, name: str, c: Cols = OBS) -> DataFrame:
 
 
 def all_kpis(
-    silver: DataFrame, indicator_table: DataFrame | None = None, c: Cols = OBS
+    silver: DataFrame,
+    indicator_table: DataFrame | None = None,
+    summary: DataFrame | None = None,
+    c: Cols = OBS,
 ) -> dict[str, DataFrame]:
     """Every KPI table by name.
 
-    The row-by-row tables are projections of one indicator table. Pass the written one
-    as ``indicator_table`` when several of them are needed, so it is computed once.
+    The row-by-row tables are projections of one indicator table, and the per-symbol ones
+    functions of one price summary. Pass the written tables when several of their KPIs
+    are needed, so that each is computed once.
     """
     if indicator_table is None:
         indicator_table = indicators.indicators(silver, c=c)
+    if summary is None:
+        summary = stage(history.price_summary(silver, c), "key-stats")
     cut = partial(from_indicators, indicator_table, c=c)
     return {
         "top_assets": snapshot.top_assets(silver, c=c),
         "price_history": history.price_history(silver, c),
-        "volatility": history.volatility(silver, c=c),
+        "volatility": history.volatility_of(summary, c=c),
         **{name: cut(name) for name in INDICATOR_TABLES},
         "market_dominance": snapshot.market_dominance(silver, c=c),
         "liquidity": snapshot.liquidity(silver, c=c),
-        "anomalies": anomaly_ops.anomalies(silver, c=c),
-        "anomalies_both": anomaly_ops.anomalies(silver, side="both", c=c),
-        "history_stats": history.history_stats(silver, c=c),
+        "anomalies": anomaly_ops.anomalies(silver, summary=summary, c=c),
+        "anomalies_both": anomaly_ops.anomalies(silver, side="both", summary=summary, c=c),
+        "history_stats": history.history_stats_of(summary, c=c),
         "volatility_windowed": history.windowed_volatility(silver, c=c),
         "spread": history.spread(silver, c=c),
         "correlation": correlation.correlation_pairs(silver, c=c),

@@ -22,6 +22,18 @@ def test_latest_snapshot_is_of_the_whole_table(obs):
     ]
 
 
+def test_latest_snapshot_reads_the_newest_partition_only(spark, obs, tmp_path):
+    rows = obs([("a", "A", 1440 * day + m, 1.0, 5.0) for day in range(5) for m in range(3)])
+    dated = rows.withColumn("observed_date", F.to_date("observed_at"))
+    dated.write.partitionBy("observed_date").parquet(str(tmp_path / "t"))
+    latest = snapshot.latest_snapshot(spark.read.parquet(str(tmp_path / "t")))
+    assert values(latest, "observed_at") == [(minutes(4 * 1440 + 2),)]
+    latest.collect()
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(observed_date" in plan
+    assert snapshot.market_dominance(spark.read.parquet(str(tmp_path / "t"))).count() == 1
+
+
 @pytest.mark.parametrize("caps", [(0.0, 0.0), (None, None), (-1.0, 0.5)])
 def test_dominance_without_a_positive_total_is_empty(obs, caps):
     rows = obs([("a", "A", 0, 1.0, caps[0]), ("b", "B", 0, 1.0, caps[1])])
