@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,7 +15,7 @@ from pricetide.operators.quality import enforce_quality, quality_report
 from pricetide.operators.silver import newer_than, not_stored, to_silver
 from pricetide.plans.kpis import all_kpis
 from pricetide.schema import BRONZE, OBSERVATION
-from pricetide.session import observed_counts, stage
+from pricetide.session import observed_counts, sized_shuffles, stage
 from pricetide.sinks import append_bronze, append_silver, overwrite_parquet, write_report
 from pricetide.sources import landing_files, read_landing, read_table, read_table_or_none
 
@@ -111,7 +112,9 @@ def refresh_silver(
     if late == "admit":
         clean = not_stored(clean, stored, lookback_days)
     counted = clean.observe(written, F.count(F.lit(1)).alias("rows_written"))
-    append_silver(counted, layout.silver)
+    # A first load shuffles all of bronze; later ones only what is new.
+    with sized_shuffles(spark, layout.bronze) if stored is None else nullcontext():
+        append_silver(counted, layout.silver)
     return {
         **observed_counts(gate, "rows_in", "rows_dropped"),
         **observed_counts(written, "rows_written"),
@@ -127,12 +130,13 @@ def check_silver(spark: SparkSession, layout: Layout) -> dict:
 
 def refresh_gold(spark: SparkSession, layout: Layout) -> list[str]:
     """Overwrite every KPI table; any failure is raised. Returns the table names."""
-    silver = read_table(spark, layout.silver, OBSERVATION)
-    overwrite_parquet(indicators(silver), layout.gold("indicators"))
-    shared = read_table(spark, layout.gold("indicators"))
-    kpis = all_kpis(silver, shared)
-    for name, table in kpis.items():
-        overwrite_parquet(table, layout.gold(name))
+    with sized_shuffles(spark, layout.silver):
+        silver = read_table(spark, layout.silver, OBSERVATION)
+        overwrite_parquet(indicators(silver), layout.gold("indicators"))
+        shared = read_table(spark, layout.gold("indicators"))
+        kpis = all_kpis(silver, shared)
+        for name, table in kpis.items():
+            overwrite_parquet(table, layout.gold(name))
     return ["indicators", *kpis]
 
 

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+
+# Shuffled bytes per partition, and how much larger rows are in a shuffle than in Parquet.
+BYTES_PER_PARTITION = 128 << 20
+PARQUET_EXPANSION = 4
+MAX_SHUFFLE_PARTITIONS = 100_000
 
 # Runtime settings every job relies on. ANSI mode stays at Spark's default (on).
 RUNTIME_CONF = {
@@ -47,6 +56,34 @@ def build_session(
     return builder.getOrCreate()
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files below ``path``, from the listing; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
+def partitions_for(size: int, at_least: int) -> int:
+    """Shuffle partitions that keep ``size`` stored bytes within task memory."""
+    needed = -(-size * PARQUET_EXPANSION // BYTES_PER_PARTITION)
+    return max(at_least, min(needed, MAX_SHUFFLE_PARTITIONS))
+
+
+@contextmanager
+def sized_shuffles(spark: SparkSession, path: str) -> Iterator[None]:
+    """Enough shuffle partitions for jobs over all of ``path``, never fewer than set.
+
+    AQE merges the ones that turn out small, but cannot split most of those that turn
+    out too large.
+    """
+    before = spark.conf.get(SHUFFLE_PARTITIONS)
+    needed = partitions_for(stored_bytes(spark, path), int(before))
+    spark.conf.set(SHUFFLE_PARTITIONS, str(needed))
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_PARTITIONS, before)
+
+
 @cache
 def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="pricetide-")

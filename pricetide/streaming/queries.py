@@ -17,11 +17,14 @@ from pricetide.sinks.serving import WriteTable, rename_columns
 from pricetide.sources import stream_landing
 
 
-def start_parquet(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def start_parquet(
+    df: DataFrame, path: str, checkpoint: str, *partition_by: str
+) -> StreamingQuery:
     """Append a stream to a Parquet table, over everything available now."""
     return (
         df.writeStream.format("parquet")
         .outputMode("append")
+        .partitionBy(*partition_by)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start(path)
