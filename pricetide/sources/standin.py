@@ -110,8 +110,9 @@ def event_snapshots(events: DataFrame) -> DataFrame:
         F.floor(F.col("event_id") / F.lit(EVENTS_PER_SNAPSHOT)).alias("snapshot")
     ).agg(
         F.unix_millis(F.min("ts").cast("timestamp")).alias("timestamp"),
+        # A set, so that copies of an event cannot make a snapshot large.
         F.sort_array(
-            F.collect_list(F.struct("event_id", "user_id", "event_type", "value"))
+            F.collect_set(F.struct("event_id", "user_id", "event_type", "value"))
         ).alias("events"),
     )
 
