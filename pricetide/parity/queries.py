@@ -12,7 +12,7 @@ from pricetide.functions import anomaly_label, as_ntz, epoch_ms_to_timestamp, sa
 from pricetide.operators import anomalies, bronze, correlation, history, indicators
 from pricetide.operators import quality, silver, snapshot
 from pricetide.plans import dashboard
-from pricetide.session import configure, scratch_path, stage
+from pricetide.session import configure, scratch_path, sized_shuffles, stage
 from pricetide.sinks import rename_columns
 from pricetide.sources import (
     landing_files,
@@ -422,11 +422,11 @@ def anomaly_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams: each runs to the end of its input and returns the table it wrote
 
 
-def _drain(df: DataFrame) -> DataFrame:
+def _drain(df: DataFrame, source: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "stream")
-    query = start_parquet(df, f"{path}/table", f"{path}/checkpoint")
-    query.awaitTermination()
+    with sized_shuffles(spark, source, spark.sparkContext.defaultParallelism):
+        start_parquet(df, f"{path}/table", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/table")
 
 
@@ -442,7 +442,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_bronze_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = landing_folder(spark, sf_dir)
-    written = _drain(stream_bronze(spark, path))
+    written = _drain(stream_bronze(spark, path), path)
     return written.select(
         "timestamp",
         as_ntz(F.col("ingestion_time")).alias("ingestion_time"),
@@ -454,17 +454,18 @@ def stream_dedupe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = landing_folder(spark, sf_dir)
     flat = silver.flatten_assets(silver.explode_assets(stream_bronze(spark, path)))
     unique = stream_dedupe(flat, keys=("rank", "observed_at"))
-    return _observation_columns(_drain(unique))
+    return _observation_columns(_drain(unique, path))
 
 
 def stream_ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _drain(stream_candles(_event_stream(spark, sf_dir)))
+    rows = _drain(stream_candles(_event_stream(spark, sf_dir)), f"{sf_dir}/events.parquet")
     return rows.withColumn("window_start", as_ntz(F.col("window_start")))
 
 
 def stream_anomalies_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stage(anomalies.price_stats(standin.events(spark, sf_dir)), "key-stats")
-    rows = _drain(stream_anomalies(_event_stream(spark, sf_dir), stats, digits=6))
+    flagged = stream_anomalies(_event_stream(spark, sf_dir), stats, digits=6)
+    rows = _drain(flagged, f"{sf_dir}/events.parquet")
     return rows.withColumn("observed_at", as_ntz(F.col("observed_at")))
 
 

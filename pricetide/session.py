@@ -69,14 +69,19 @@ def partitions_for(size: int, at_least: int) -> int:
 
 
 @contextmanager
-def sized_shuffles(spark: SparkSession, path: str) -> Iterator[None]:
-    """Enough shuffle partitions for jobs over all of ``path``, never fewer than set.
+def sized_shuffles(
+    spark: SparkSession, path: str, at_least: int | None = None
+) -> Iterator[None]:
+    """Enough shuffle partitions for jobs over all of ``path``.
 
     AQE merges the ones that turn out small, but cannot split most of those that turn
-    out too large.
+    out too large; so by default there are never fewer than the session sets. Streams
+    have no AQE, and keep the number they start with: they may pass a lower
+    ``at_least``.
     """
     before = spark.conf.get(SHUFFLE_PARTITIONS)
-    needed = partitions_for(stored_bytes(spark, path), int(before))
+    floor = int(before) if at_least is None else at_least
+    needed = partitions_for(stored_bytes(spark, path), floor)
     spark.conf.set(SHUFFLE_PARTITIONS, str(needed))
     try:
         yield

@@ -158,3 +158,10 @@ def test_all_kpis_are_lazy_tables_by_name(obs):
     tables = kpis.all_kpis(rows)
     assert {"top_assets", "momentum", "correlation", "spread", "anomalies_both"} <= set(tables)
     assert all(t.count() >= 0 for t in tables.values())
+
+
+def test_candles_bound_their_open_and_close(obs):
+    rows = obs([("a", "A", m, float((m * 37) % 101)) for m in range(200)])
+    candles = history.candles(rows)
+    assert candles.filter("low > open or low > close or high < open or high < close").count() == 0
+    assert candles.count() == 14
