@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import cache
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -39,7 +37,7 @@ STATE_CONF = {
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**RUNTIME_CONF, **STATE_CONF}.items():
         spark.conf.set(key, value)
     return spark
 
@@ -89,23 +87,15 @@ def sized_shuffles(
         spark.conf.set(SHUFFLE_PARTITIONS, before)
 
 
-@cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="pricetide-")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared checkpoint directory.
 
-    The directory comes from ``spark.checkpoint.dir``. Only a local master without
-    that setting falls back to a temporary folder: executors on other machines could
-    not read one.
+    The directory comes from ``spark.checkpoint.dir``; where that is unset, it is a folder
+    below the warehouse, which executors share as well.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        base = _local_scratch()
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/pricetide/{label}-{uuid.uuid4().hex}"
 
 
