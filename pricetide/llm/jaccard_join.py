@@ -6,7 +6,7 @@
    it shares most keys with; links make components.
 3. In a key's group that is not one component yet, an R-tree over count vectors finds the
    pairs of different components that may be similar. A count vector says how many of a
-   node's shingles fall into each of 64 hash groups; the sum of the smaller counts bounds
+   node's shingles fall into each of 256 hash groups; the sum of the smaller counts bounds
    what two nodes can share. Surviving pairs are compared shingle by shingle.
 
 Links inside a component change nothing and are not looked for, so large groups of near
@@ -30,7 +30,7 @@ from pricetide.llm.encoding import long_array
 from pricetide.llm.text import SHINGLE_WORDS, SIMILARITY_PERCENT, map_arrow, shingles, slices, utf8
 from pricetide.session import stage
 
-GROUPS = 64
+GROUPS = 256
 # A shingle in this many of the drawn documents counts as frequent; one in DRAWN is drawn.
 FREQUENT = 3
 DRAWN = 16
@@ -319,20 +319,21 @@ def tree_candidates(
     members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, partners: int | None
 ) -> DataFrame:
     """Pairs ``u``, ``v`` of different components that the groups' trees let through; with
-    ``partners`` only a node's so many likeliest ones in each other component."""
+    ``partners`` only so many likeliest ones of each node."""
 
     def find(rows: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
         node, component, n = (np.concatenate([r[i] for r in rows]) for i in (0, 1, 2))
         counts = np.concatenate([r[3] for r in rows])
         i, j, bound = tree_pairs(counts, n, component, percent)
         if partners is not None and len(i):
-            kept = np.zeros(len(i), bool)
-            for one, other in ((i, j), (j, i)):
-                order = np.lexsort((-bound, component[other], node[one]))
-                a, b = node[one][order], component[other][order]
-                new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-                place = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-                kept[order[place < partners]] = True
+            # Both ways, each node's partners by what they may share of the whole.
+            one, other = np.concatenate((i, j)), np.concatenate((j, i))
+            share = np.tile(bound / (n[i] + n[j] - bound), 2)
+            order = np.lexsort((node[other], -share, one))
+            new = np.append(True, one[order][1:] != one[order][:-1])
+            at = np.arange(len(order))
+            best = order[at - np.maximum.accumulate(np.where(new, at, 0)) < partners]
+            kept = np.unique(best % len(i))
             i, j = i[kept], j[kept]
         return [np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]
 
