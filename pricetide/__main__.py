@@ -55,7 +55,7 @@ def execute(spark: SparkSession, args: argparse.Namespace) -> object:
     if args.stage == "run":
         return medallion.run(spark, args.root, args.late)
     if args.stage == "bronze":
-        return {"bronze_rows": medallion.refresh_bronze(spark, layout)}
+        return medallion.refresh_bronze(spark, layout)
     if args.stage == "silver":
         return medallion.refresh_silver(spark, layout, args.late)
     if args.stage == "quality":
@@ -69,7 +69,9 @@ def execute(spark: SparkSession, args: argparse.Namespace) -> object:
     if args.stage == "sample":
         return [row.asDict() for row in content_sample(gold["top_assets"]).collect()]
     if args.stage == "export":
-        return {"single_file": export_csv(gold["top_assets"], args.out)}
+        # One row per asset: small enough for one file.
+        export_csv(gold["top_assets"], args.out, single_file=True)
+        return {"exported": args.out}
     properties = dict(item.split("=", 1) for item in args.property)
     writer = jdbc_writer(args.url, properties, args.mode)
     results = load_tables(spark, gold, writer, args.prefix)

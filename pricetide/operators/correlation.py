@@ -73,6 +73,8 @@ def correlation_pairs(
     df: DataFrame,
     grid: str | None = None,
     symbols: list[str] | None = None,
+    pairs: DataFrame | None = None,
+    all_pairs: bool = False,
     digits: int | None = 6,
     symbols_per_block: int = SYMBOLS_PER_BLOCK,
     times_per_tile: int = TIMES_PER_TILE,
@@ -81,8 +83,19 @@ def correlation_pairs(
     """Pearson correlation per pair ``symbol_a < symbol_b`` and the times they share.
 
     NULL for fewer than two shared times or a constant series. ``symbols`` restricts
-    the matrix; ``grid`` first averages prices per time window.
+    the matrix to some, and ``pairs`` (``symbol_a``, ``symbol_b``) to the wanted pairs.
+    The whole matrix grows with the square of the symbols: ``all_pairs`` asks for it.
+    ``grid`` first averages prices per time window.
     """
+    if symbols is None and pairs is None and not all_pairs:
+        raise ValueError("name symbols or pairs, or ask for all_pairs")
+    if pairs is not None:
+        pairs = pairs.select(
+            F.least("symbol_a", "symbol_b").alias("symbol_a"),
+            F.greatest("symbol_a", "symbol_b").alias("symbol_b"),
+        ).distinct()
+        wanted = pairs.select(F.col("symbol_a").alias(c.symbol)).union(pairs.select("symbol_b"))
+        df = df.join(wanted.distinct(), c.symbol, "left_semi")
     if symbols is not None:
         df = df.filter(F.col(c.symbol).isin(symbols))
     cells = stage(
@@ -119,6 +132,8 @@ def correlation_pairs(
     total = sums.groupBy("symbol_a", "symbol_b").agg(
         *[F.sum(name).alias(name) for name in ("n", "sx", "sy", "sxx", "syy", "sxy")]
     )
+    if pairs is not None:
+        total = total.join(pairs, ["symbol_a", "symbol_b"])
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     var_x = n * F.col("sxx") - sx * sx
     var_y = n * F.col("syy") - sy * sy

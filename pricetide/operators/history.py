@@ -10,8 +10,9 @@ from pricetide.schema import OBS, Cols
 
 
 def price_history(df: DataFrame, c: Cols = OBS) -> DataFrame:
-    """The time series the read queries work on."""
-    return df.select(c.time, c.symbol, c.price, c.volume, c.market_cap)
+    """The time series the read queries work on, with its date if there is one."""
+    date = [c.date] if c.date in df.columns else []
+    return df.select(c.time, c.symbol, c.price, c.volume, c.market_cap, *date)
 
 
 def _moments(price: str) -> list[Column]:

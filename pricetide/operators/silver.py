@@ -117,15 +117,22 @@ def newer_than(
     time: str = "observed_at",
     lookback_days: int = 0,
     c: Cols = OBS,
+    date: str | None = None,
 ) -> DataFrame:
     """Rows of ``batch`` after the newest stored time, less the look-back.
 
     The high-water mark is a scalar subquery, which reaches the Parquet scan as a pushed
-    filter.
+    filter. ``date`` names the date column ``batch`` is partitioned by, if it is: earlier
+    dates are then not opened.
     """
     if stored is None:
         return batch
-    return batch.filter(F.col(time) > _floor(stored, lookback_days, c).scalar())
+    floor = _floor(stored, lookback_days, c)
+    newer = batch.filter(F.col(time) > floor.scalar())
+    if date is None:
+        return newer
+    first_day = floor.select(F.to_date("floor").alias("first_day")).scalar()
+    return newer.filter(F.col(date) >= first_day)
 
 
 def _floor(stored: DataFrame, lookback_days: int, c: Cols) -> DataFrame:

@@ -98,6 +98,9 @@ _RANGE = (
 )
 
 
+_BETWEEN = "BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'"
+
+
 def _with(*parts: str, select: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + select
 
@@ -386,6 +389,29 @@ visible AS (SELECT * FROM obs WHERE {_RANGE})""",
           ROUND((price - AVG(price) OVER w) / NULLIF(STDDEV_SAMP(price) OVER w, 0), 6) AS z_score
           FROM visible WINDOW w AS (PARTITION BY symbol)""",
     ),
+    "price_ma_range": "SELECT * FROM (" + _MOVING_AVERAGES + ") WHERE observed_at " + _BETWEEN,
+    "ohlc_range": _candles("observed_at " + _BETWEEN),
+    "volume_range": _with(
+        _EVENTS,
+        select=f"""SELECT time_bucket(INTERVAL '15 minutes', observed_at) AS window_start, symbol,
+          ROUND(AVG(volume_24h), 8) AS volume FROM obs WHERE observed_at {_BETWEEN} GROUP BY 1, 2""",
+    ),
+    "stream_ohlc_complete": _candles(),
+    "bronze_mixed_documents": _with(
+        _DOCS,
+        select="""SELECT d.timestamp, CAST(e.user_id AS VARCHAR) AS asset_id,
+          CAST(e.event_id AS INTEGER) AS rank, UPPER(e.event_type) AS symbol
+          FROM docs d JOIN events e ON e.event_id // 10 = d.snapshot WHERE d.snapshot % 50 != 7""",
+    ),
+    "bronze_quarantine": _with(_DOCS, select="SELECT snapshot FROM snap WHERE snapshot % 50 = 7"),
+    "correlation_wanted": _with(
+        _MARKET,
+        select="""SELECT least(a.symbol, b.symbol) AS symbol_a, greatest(a.symbol, b.symbol) AS symbol_b,
+          CAST(COUNT(*) AS BIGINT) AS n_times, ROUND(CORR(a.price, b.price), 6) AS correlation
+          FROM obs a JOIN obs b ON a.observed_at = b.observed_at
+          AND CAST(substr(b.symbol, 7) AS INTEGER) = CAST(substr(a.symbol, 7) AS INTEGER) + 1
+          GROUP BY 1, 2""",
+    ),
     "ohlc_15m": _candles(),
     "volume_15m": _with(
         _EVENTS,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pricetide.functions import anomaly_label, as_ntz, epoch_ms_to_timestamp, safe_double, safe_int
 from pricetide.operators import anomalies, bronze, correlation, history, indicators
 from pricetide.operators import quality, silver, snapshot
-from pricetide.plans import dashboard
+from pricetide.plans import dashboard, medallion
 from pricetide.session import configure, scratch_path, sized_shuffles, stage
 from pricetide.sinks import rename_columns
 from pricetide.sources import (
@@ -22,6 +22,7 @@ from pricetide.sources import (
     standin,
 )
 from pricetide.streaming import (
+    complete_candles,
     start_parquet,
     stream_anomalies,
     stream_bronze,
@@ -288,12 +289,20 @@ def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlation.correlation_pairs(_market(spark, sf_dir))
+    return correlation.correlation_pairs(_market(spark, sf_dir), all_pairs=True)
+
+
+def correlation_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = standin.table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol_a")).distinct()
+    # Each brand with the one whose number follows.
+    number = F.regexp_extract("symbol_a", "([0-9]+)$", 1).cast("int")
+    pairs = brands.select("symbol_a", F.concat(F.lit("Brand#"), number + 1).alias("symbol_b"))
+    return correlation.correlation_pairs(_market(spark, sf_dir), pairs=pairs)
 
 
 def correlation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlation.correlation_pairs(
-        standin.events(spark, sf_dir), grid="6 hours", symbols_per_block=2, times_per_tile=16
+        standin.events(spark, sf_dir), grid="6 hours", all_pairs=True, symbols_per_block=2, times_per_tile=16
     )
 
 
@@ -358,6 +367,20 @@ def price_ma_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.price_ma_series(averages)
 
 
+def price_ma_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    averages = indicators.moving_averages(standin.events(spark, sf_dir), digits=FINE)
+    return dashboard.price_ma_series(averages, start=RANGE_START, end=RANGE_END)
+
+
+def ohlc_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.candle_series(standin.events(spark, sf_dir), start=RANGE_START, end=RANGE_END)
+
+
+def volume_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = standin.events(spark, sf_dir)
+    return dashboard.volume_series(rows, digits=FINE, start=RANGE_START, end=RANGE_END)
+
+
 def volatility_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = history.volatility(standin.events(spark, sf_dir), raw_digits=6, pct_digits=6)
     return dashboard.volatility_ranking(rows, detail=True)
@@ -462,6 +485,34 @@ def stream_ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("window_start", as_ntz(F.col("window_start")))
 
 
+def stream_ohlc_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return complete_candles(stream_ohlc(spark, sf_dir), standin.events(spark, sf_dir))
+
+
+mixed_lake = _written(standin.land_mixed)
+
+
+def _mixed_bronze(spark: SparkSession, sf_dir: str, corrupt: bool) -> DataFrame:
+    layout = medallion.Layout(mixed_lake(configure(spark), sf_dir))
+    medallion.refresh_bronze(spark, layout)
+    return medallion.read_bronze(spark, layout, corrupt)
+
+
+def bronze_mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assets = silver.explode_assets(silver.parse_assets(_mixed_bronze(spark, sf_dir, False)))
+    return assets.select(
+        "timestamp",
+        F.col("asset.id").alias("asset_id"),
+        safe_int(F.col("asset.rank")).alias("rank"),
+        F.col("asset.symbol").alias("symbol"),
+    )
+
+
+def bronze_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.regexp_extract("source_file", "cut-([0-9]+)", 1).cast("long")
+    return _mixed_bronze(spark, sf_dir, True).select(number.alias("snapshot"))
+
+
 def stream_anomalies_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stage(anomalies.price_stats(standin.events(spark, sf_dir)), "key-stats")
     flagged = stream_anomalies(_event_stream(spark, sf_dir), stats, digits=6)
@@ -506,6 +557,7 @@ QUERIES: dict[str, Query] = {
     "spread": spread,
     "correlation_pairs": correlation_pairs,
     "correlation_grid": correlation_grid,
+    "correlation_wanted": correlation_wanted,
     "quality_report": quality_report,
     "layer_profile": layer_profile,
     "layer_symbols": layer_symbols,
@@ -516,6 +568,9 @@ QUERIES: dict[str, Query] = {
     "total_market_cap": total_market_cap,
     "total_volume": total_volume,
     "price_ma_series": price_ma_series,
+    "price_ma_range": price_ma_range,
+    "ohlc_range": ohlc_range,
+    "volume_range": volume_range,
     "volatility_ranking": volatility_ranking,
     "dominance_ranking": dominance_ranking,
     "liquidity_ranking": liquidity_ranking,
@@ -531,5 +586,8 @@ QUERIES: dict[str, Query] = {
     "stream_bronze": stream_bronze_query,
     "stream_dedupe": stream_dedupe_query,
     "stream_ohlc": stream_ohlc,
+    "stream_ohlc_complete": stream_ohlc_complete,
+    "bronze_mixed_documents": bronze_mixed_documents,
+    "bronze_quarantine": bronze_quarantine,
     "stream_anomalies": stream_anomalies_query,
 }

@@ -41,7 +41,8 @@ def in_time_range(
 ) -> DataFrame:
     """Rows in ``[start, end]``; without a start, the last six hours up to ``end``.
 
-    The bounds are literals of the column's own type, so they are pushed to the scan.
+    The bounds are literals of the column's own type, so they are pushed to the scan. If
+    the rows have their date, so are bounds on that: other date partitions stay shut.
     """
     end = end or now or datetime.now(UTC).replace(tzinfo=None)
     start = start or end - DEFAULT_RANGE
@@ -50,7 +51,22 @@ def in_time_range(
     def bound(value: datetime) -> Column:
         return F.lit(value.isoformat(sep=" ")).cast(dtype)
 
-    return df.filter(F.col(c.time).between(bound(start), bound(end)))
+    visible = df.filter(F.col(c.time).between(bound(start), bound(end)))
+    if c.date not in df.columns:
+        return visible
+    return visible.filter(F.col(c.date).between(F.lit(start.date()), F.lit(end.date())))
+
+
+def _shown(
+    df: DataFrame,
+    symbols: Sequence[str] | None,
+    start: datetime | None,
+    end: datetime | None,
+    c: Cols,
+) -> DataFrame:
+    """Rows of the chosen symbols and time range; without either bound, of all times."""
+    chosen = with_symbols(df, symbols, c)
+    return chosen if start is None and end is None else in_time_range(chosen, start, end, c=c)
 
 
 def snapshot_table(
@@ -81,12 +97,16 @@ def total_volume(top_assets: DataFrame, c: Cols = OBS) -> DataFrame:
 
 
 def price_ma_series(
-    moving_averages: DataFrame, symbols: Sequence[str] | None = None, c: Cols = OBS
+    moving_averages: DataFrame,
+    symbols: Sequence[str] | None = None,
+    c: Cols = OBS,
+    start: datetime | None = None,
+    end: datetime | None = None,
 ) -> DataFrame:
     """Price and moving averages by time; the symbol keeps several series apart."""
     averages = [n for n in moving_averages.columns if n.startswith("ma_")]
     return (
-        with_symbols(moving_averages, symbols, c)
+        _shown(moving_averages, symbols, start, end, c)
         .select(c.time, c.symbol, c.price, *averages)
         .orderBy(c.time, c.symbol)
     )
@@ -157,8 +177,11 @@ def candle_series(
     duration: str = "15 minutes",
     symbols: Sequence[str] | None = None,
     c: Cols = OBS,
+    start: datetime | None = None,
+    end: datetime | None = None,
 ) -> DataFrame:
-    candles = history.candles(with_symbols(history_rows, symbols, c), duration, c=c)
+    """Candles of the rows in the range; one that the range cuts has the rows inside."""
+    candles = history.candles(_shown(history_rows, symbols, start, end, c), duration, c=c)
     return candles.orderBy("window_start", c.symbol)
 
 
@@ -168,8 +191,11 @@ def volume_series(
     digits: int | None = None,
     symbols: Sequence[str] | None = None,
     c: Cols = OBS,
+    start: datetime | None = None,
+    end: datetime | None = None,
 ) -> DataFrame:
-    bars = history.volume_bars(with_symbols(history_rows, symbols, c), duration, digits, c)
+    rows = _shown(history_rows, symbols, start, end, c)
+    bars = history.volume_bars(rows, duration, digits, c)
     return bars.orderBy("window_start", c.symbol)
 
 

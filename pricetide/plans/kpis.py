@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 
 from pricetide.operators import anomalies as anomaly_ops
-from pricetide.operators import correlation, history, indicators, snapshot
+from pricetide.operators import history, indicators, snapshot
 from pricetide.schema import OBS, Cols
 from pricetide.session import stage
 
@@ -38,7 +38,8 @@ def all_kpis(
 
     The row-by-row tables are projections of one indicator table, and the per-symbol ones
     functions of one price summary. Pass the written tables when several of their KPIs
-    are needed, so that each is computed once.
+    are needed, so that each is computed once. Correlation is not among them: its pairs
+    grow with the square of the symbols, so it is computed on request.
     """
     if indicator_table is None:
         indicator_table = indicators.indicators(silver, c=c)
@@ -57,5 +58,5 @@ def all_kpis(
         "history_stats": history.history_stats_of(summary, c=c),
         "volatility_windowed": history.windowed_volatility(silver, c=c),
         "spread": history.spread(silver, c=c),
-        "correlation": correlation.correlation_pairs(silver, c=c),
+        "volatility_rolling": indicators.rolling_volatility(silver, c=c),
     }

@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from contextlib import nullcontext
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.operators.bronze import distinct_sources, to_bronze, unprocessed
+from pricetide.operators.bronze import to_bronze
 from pricetide.operators.indicators import indicators
 from pricetide.operators.quality import enforce_quality, quality_report
 from pricetide.operators.silver import newer_than, not_stored, to_silver
 from pricetide.plans.kpis import all_kpis
-from pricetide.schema import BRONZE, OBSERVATION
+from pricetide.schema import BRONZE, CORRUPT, OBSERVATION
 from pricetide.session import observed_counts, sized_shuffles, stage
-from pricetide.sinks import append_bronze, append_silver, overwrite_parquet, write_report
-from pricetide.sources import landing_files, read_landing, read_table, read_table_or_none
+from pricetide.sinks import append_silver, overwrite_parquet, write_report
+from pricetide.sources import read_table, read_table_or_none, stream_landing
+from pricetide.streaming import start_parquet
 
 
-# An incremental run names at most this many new files to the reader.
-MAX_NAMED_FILES = 10_000
-PLAIN_PATH = re.compile(r"[\w./:=+-]+")
-
 
 @dataclass(frozen=True)
 class Layout:
@@ -57,34 +53,45 @@ class Layout:
 def refresh_bronze(
     spark: SparkSession,
     layout: Layout,
-    modified_after: str | None = None,
-    max_named_files: int = MAX_NAMED_FILES,
-) -> int:
-    """Append the snapshots of files not ingested yet; returns how many.
-
-    The listing alone tells which files are new. Up to ``max_named_files`` of them are
-    read by name, so an incremental run does not parse the rest of the landing folder;
-    beyond that, or with names a path pattern could misread, all files are read and the
-    known ones drop out in an anti join.
+    on_corrupt: str = "quarantine",
+    max_files_per_trigger: int | None = None,
+) -> dict[str, int]:
+    """Append the snapshots of files not ingested yet; returns ``rows`` and ``quarantined``.
+
+    A stream over what is there now, whose checkpoint remembers the files: each is read
+    once, whatever its name and however many there are. ``data`` stays text, whether it
+    came as an array or as text. Files that are no JSON documents go to the partition
+    ``corrupt=1`` with their text; ``on_corrupt="fail"`` raises after that.
     """
-    known = read_table_or_none(spark, layout.bronze, BRONZE)
-    if known is not None:
-        # Written, so that Catalyst knows whether the file list is small enough to send.
-        known = stage(distinct_sources(known), "known-files")
-    files = unprocessed(landing_files(spark, layout.landing, modified_after), known)
-    names = [row["source_file"] for row in files.limit(max_named_files + 1).collect()]
-    if not names:
-        return 0
-    if len(names) <= max_named_files and all(PLAIN_PATH.fullmatch(n) for n in names):
-        landing = read_landing(spark, names)
-    else:
-        landing = unprocessed(
-            read_landing(spark, layout.landing, modified_after=modified_after), known
-        )
-    observed = Observation("bronze")
-    counted = to_bronze(landing).observe(observed, F.count(F.lit(1)).alias("rows"))
-    append_bronze(counted, layout.bronze)
-    return observed_counts(observed, "rows")["rows"]
+    if on_corrupt not in ("quarantine", "fail"):
+        raise ValueError(f"on_corrupt must be 'quarantine' or 'fail', not {on_corrupt!r}")
+    landed = stream_landing(spark, layout.landing, "text", max_files_per_trigger, keep_corrupt=True)
+    rows = to_bronze(landed).withColumns(
+        {
+            "corrupt": F.col(CORRUPT).isNotNull().cast("int"),
+            "ingestion_date": F.to_date("ingestion_time"),
+        }
+    )
+    counted = rows.observe(
+        "ingest", F.count(F.lit(1)).alias("all"), F.sum("corrupt").alias("corrupt")
+    )
+    query = start_parquet(
+        counted, layout.bronze, layout.folder("_checkpoints/bronze"), "corrupt", "ingestion_date"
+    )
+    query.awaitTermination()
+    found = [p.observedMetrics["ingest"] for p in query.recentProgress if "ingest" in p.observedMetrics]
+    total = sum(row["all"] or 0 for row in found)
+    bad = sum(row["corrupt"] or 0 for row in found)
+    if bad and on_corrupt == "fail":
+        raise ValueError(f"{bad} landing file(s) are no JSON; see corrupt=1 in {layout.bronze}")
+    return {"rows": total - bad, "quarantined": bad}
+
+
+def read_bronze(spark: SparkSession, layout: Layout, corrupt: bool = False) -> DataFrame:
+    """Ingested snapshots, or with ``corrupt`` the quarantined files; the partition of the
+    other kind is not opened."""
+    bronze = read_table(spark, layout.bronze, BRONZE)
+    return bronze.filter(F.col("corrupt") == int(corrupt)).drop("corrupt")
 
 
 def refresh_silver(
@@ -101,10 +108,12 @@ def refresh_silver(
     if late not in ("drop", "admit"):
         raise ValueError(f"late must be 'drop' or 'admit', not {late!r}")
     lookback = 0 if late == "drop" else lookback_days
-    bronze = read_table(spark, layout.bronze, BRONZE)
+    bronze = read_bronze(spark, layout)
     stored = read_table_or_none(spark, layout.silver, OBSERVATION)
     # A bronze row is a whole snapshot: the time bound prunes before the explode.
-    new = newer_than(bronze, stored, "ingestion_time", lookback_days=lookback)
+    new = newer_than(
+        bronze, stored, "ingestion_time", lookback_days=lookback, date="ingestion_date"
+    )
     if new.isEmpty():
         return {"rows_in": 0, "rows_dropped": 0, "rows_written": 0}
     gate, written = Observation("gate"), Observation("silver")
@@ -145,14 +154,17 @@ def gold_tables(spark: SparkSession, layout: Layout, names: tuple[str, ...]) ->
     return {name: read_table(spark, layout.gold(name)) for name in names}
 
 
-def run(spark: SparkSession, root: str, late: str = "drop") -> dict:
+def run(
+    spark: SparkSession, root: str, late: str = "drop", on_corrupt: str = "quarantine"
+) -> dict:
     """All stages in order; the quality gate stands between silver and gold."""
     layout = Layout(root)
-    bronze_rows = refresh_bronze(spark, layout)
+    bronze = refresh_bronze(spark, layout, on_corrupt)
     silver_rows = refresh_silver(spark, layout, late)
     quality = check_silver(spark, layout)
     return {
-        "bronze_rows": bronze_rows,
+        "bronze_rows": bronze["rows"],
+        "quarantined": bronze["quarantined"],
         "silver": silver_rows,
         "quality": quality,
         "gold": refresh_gold(spark, layout),

@@ -42,9 +42,12 @@ PAYLOAD = T.StructType(
     ]
 )
 
+# Documents that are not JSON of this shape are kept as they came in this column.
+CORRUPT = "_corrupt_record"
+
 BRONZE = T.StructType(
     [
-        *LANDING.fields,
+        *LANDING_TEXT.fields,
         T.StructField("source_file", T.StringType()),
         T.StructField("ingestion_time", T.TimestampType()),
     ]

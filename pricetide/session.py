@@ -16,7 +16,6 @@ SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 # Shuffled bytes per partition, and how much larger rows are in a shuffle than in Parquet.
 BYTES_PER_PARTITION = 128 << 20
 PARQUET_EXPANSION = 4
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 # Runtime settings every job relies on. ANSI mode stays at Spark's default (on).
 RUNTIME_CONF = {
@@ -63,7 +62,7 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
 def partitions_for(size: int, at_least: int) -> int:
     """Shuffle partitions that keep ``size`` stored bytes within task memory."""
     needed = -(-size * PARQUET_EXPANSION // BYTES_PER_PARTITION)
-    return max(at_least, min(needed, MAX_SHUFFLE_PARTITIONS))
+    return max(at_least, needed)
 
 
 @contextmanager

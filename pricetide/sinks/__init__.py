@@ -1,5 +1,4 @@
 from pricetide.sinks.files import (  # noqa: F401
-    append_bronze,
     append_silver,
     export_csv,
     overwrite_parquet,

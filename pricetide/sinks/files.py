@@ -4,13 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# A CSV export above this many rows is written as several files, not by one task.
-SINGLE_FILE_ROWS = 1_000_000
-
-
-def append_bronze(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
 
 def append_silver(df: DataFrame, path: str, date: str = "observed_date") -> None:
     """Append, partitioned by date.
@@ -25,15 +18,10 @@ def overwrite_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def export_csv(
-    df: DataFrame, path: str, single_file: bool = True, max_rows: int = SINGLE_FILE_ROWS
-) -> bool:
-    """CSV with a header, in one file if the rows fit; returns whether they did."""
-    # One row beyond the limit decides; nothing is left out of the export.
-    fits = single_file and df.limit(max_rows + 1).count() <= max_rows
-    out = df.coalesce(1) if fits else df
+def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """CSV with a header. ``single_file`` has one task write it: for small tables only."""
+    out = df.coalesce(1) if single_file else df
     out.write.mode("overwrite").option("header", True).csv(path)
-    return fits
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricetide.schema import LANDING, LANDING_TEXT, PAYLOAD
+from pricetide.schema import CORRUPT, LANDING, LANDING_TEXT, PAYLOAD
 
 # Fixed mapping of raw payload keys to landing fields, with the text used when the
 # key is absent (None keeps NULL).
@@ -71,10 +71,19 @@ def stream_landing(
     path: str,
     data_as: str = "array",
     max_files_per_trigger: int | None = None,
+    keep_corrupt: bool = False,
 ) -> DataFrame:
-    """The streaming form of :func:`read_landing`."""
+    """The streaming form of :func:`read_landing`.
+
+    ``keep_corrupt`` adds the text of files that are no JSON documents, which otherwise
+    come as rows of NULLs.
+    """
+    schema = _landing_schema(data_as)
+    if keep_corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     reader = (
-        spark.readStream.schema(_landing_schema(data_as))
+        spark.readStream.schema(schema)
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
     )

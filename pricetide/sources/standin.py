@@ -172,6 +172,27 @@ def land_events(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def land_mixed(spark: SparkSession, sf_dir: str) -> str:
+    """Write ``events`` as a lake's landing folder of mixed documents; returns the lake.
+
+    Every third snapshot has its ``data`` as JSON text. Each fiftieth is cut off in the
+    middle, in a file of its own. Folder names have a blank.
+    """
+    path = scratch_path(spark, "mixed-lake")
+    data = F.transform("events", _asset)
+    as_array = F.to_json(F.struct("timestamp", data.alias("data")))
+    as_text = F.to_json(F.struct("timestamp", F.to_json(data).alias("data")))
+    number = F.col("snapshot")
+    snapshots = event_snapshots(table(spark, sf_dir, "events"))
+    cut = number % 50 == 7
+    whole = _batched(snapshots.filter(~cut), F.when(number % 3 == 1, as_text).otherwise(as_array))
+    whole = whole.withColumn("batch", F.concat(F.lit("no "), "batch"))
+    half = F.substring(as_array, F.lit(1), (F.length(as_array) / 2).cast("int"))
+    broken = snapshots.filter(cut).select(F.concat(F.lit("cut-"), number.cast("string")).alias("batch"), half.alias("doc"))
+    write_documents(whole.unionByName(broken), f"{path}/landing")
+    return path
+
+
 def land_payloads(spark: SparkSession, sf_dir: str) -> str:
     """Write ``events`` as raw payload files to the scratch folder; returns the folder."""
     path = scratch_path(spark, "payload")

@@ -1,4 +1,5 @@
 from pricetide.streaming.queries import (  # noqa: F401
+    complete_candles,
     start_batches,
     start_parquet,
     start_serving,

@@ -92,6 +92,24 @@ def stream_candles(
     return candles(observations.withWatermark(c.time, delay), duration, c=c)
 
 
+def complete_candles(
+    emitted: DataFrame, observations: DataFrame, duration: str = "15 minutes", c: Cols = OBS
+) -> DataFrame:
+    """The emitted candles, and those of later windows, which the stream holds open.
+
+    The later ones are a batch aggregate of the rows after the last emitted window only.
+    """
+    last = emitted.agg(F.max("window_start").alias("last"))
+    dtype = observations.schema[c.time].dataType
+    after = last.select(F.col("last").cast(dtype).alias("last")).scalar()
+    open_rows = observations.filter(
+        after.isNull() | (F.col(c.time) >= after + F.expr(f"INTERVAL {duration}"))
+    )
+    rest = candles(open_rows, duration, c=c)
+    rest = rest.withColumn("window_start", F.col("window_start").cast(emitted.schema["window_start"].dataType))
+    return emitted.unionByName(rest)
+
+
 def stream_anomalies(
     observations: DataFrame,
     stats: DataFrame,

@@ -11,13 +11,13 @@ def test_stages_one_by_one(spark, tmp_path, land):
         return execute(spark, parse([stage, str(tmp_path), *options]))
 
     assert do("profile") == []
-    assert do("bronze") == {"bronze_rows": 1}
+    assert do("bronze") == {"rows": 1, "quarantined": 0}
     assert do("silver", "--late", "admit")["rows_written"] == 2
     assert do("quality")["passed"]
     assert "volatility" in do("gold")
     assert [r["row_count"] for r in do("profile")] == [1, 2, 2]
     assert {r["symbol"] for r in do("sample")} == {"A", "B"}
-    assert do("export", "--out", str(tmp_path / "csv")) == {"single_file": True}
+    assert do("export", "--out", str(tmp_path / "csv")) == {"exported": str(tmp_path / "csv")}
     # No JDBC driver answers to this address, so every table fails and is reported.
     with pytest.raises(RuntimeError, match="crypto_top_assets"):
         do("serve", "--url", "jdbc:none:", "--property", "user=u")

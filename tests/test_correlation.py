@@ -31,7 +31,7 @@ def test_tiles_match_brute_force(obs, block, tile):
         for s in "ABCDEFG" for m in range(40) if rng.random() < 0.7
     ]
     rows += [("K", "K", m, 4.1) for m in range(40)] + [("L", "L", 1, 2.0)]
-    got = correlation_pairs(obs(rows), digits=None, symbols_per_block=block, times_per_tile=tile)
+    got = correlation_pairs(obs(rows), all_pairs=True, digits=None, symbols_per_block=block, times_per_tile=tile)
     want = brute_force(rows)
     found = {(r["symbol_a"], r["symbol_b"]): r for r in got.collect()}
     assert set(found) == set(want)
@@ -48,5 +48,5 @@ def test_symbol_list_and_grid(obs):
 
 def test_no_rows_no_pairs(obs):
     rows = obs([("a", "A", 0, 1.0)])
-    assert correlation_pairs(rows).count() == 0
-    assert correlation_pairs(rows.filter(F.lit(False))).count() == 0
+    assert correlation_pairs(rows, all_pairs=True).count() == 0
+    assert correlation_pairs(rows.filter(F.lit(False)), all_pairs=True).count() == 0

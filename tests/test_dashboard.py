@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import minutes, values
 from pricetide.functions import change_sign, liquidity_band, volatility_band, z_band
-from pricetide.operators import indicators, snapshot
+from pricetide.operators import history, indicators, snapshot
 from pricetide.plans import dashboard
 
 
@@ -82,3 +83,21 @@ def test_feed_has_labels(obs):
     feed = dashboard.anomaly_feed(rows).collect()
     assert [r["label"] for r in feed[:2]] == ["ANOMALY", "normal"]
     assert feed[-1]["label"] is None
+
+
+def test_a_time_range_opens_only_its_dates(spark, obs, tmp_path):
+    rows = obs([("a", "A", day * 1440, 1.0 + day, 1.0, 1.0) for day in range(9)])
+    rows.withColumn("observed_date", F.to_date("observed_at")).write.partitionBy("observed_date").parquet(
+        str(tmp_path / "silver")
+    )
+    silver = spark.read.parquet(str(tmp_path / "silver"))
+    start, end = minutes(2 * 1440), minutes(3 * 1440)
+    for shown in (
+        dashboard.in_time_range(history.price_history(silver), start, end),
+        dashboard.candle_series(silver, start=start, end=end),
+        dashboard.volume_series(silver, start=start, end=end),
+        dashboard.z_score_series(silver, start, end),
+    ):
+        plan = shown._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*observed_date", plan)
+        assert shown.count() == 2

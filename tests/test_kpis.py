@@ -156,7 +156,7 @@ def test_candles(obs):
 def test_all_kpis_are_lazy_tables_by_name(obs):
     rows = obs([("a", "A", i, float(i + 1), 5.0, 1.0) for i in range(3)])
     tables = kpis.all_kpis(rows)
-    assert {"top_assets", "momentum", "correlation", "spread", "anomalies_both"} <= set(tables)
+    assert {"top_assets", "momentum", "volatility_rolling", "spread", "anomalies_both"} <= set(tables)
     assert all(t.count() >= 0 for t in tables.values())
 
 

@@ -1,7 +1,11 @@
+import json
+import re
+
 import pytest
 
 from conftest import asset, values
 from pricetide.operators.quality import QualityError
+from pricetide.operators.silver import newer_than
 from pricetide.plans import medallion
 from pricetide.schema import OBSERVATION
 from pricetide.sinks import TABLES, load_tables
@@ -46,7 +50,7 @@ def test_late_snapshots(spark, tmp_path, land):
     medallion.refresh_silver(spark, layout)
     land(layout.landing, "late", START, [asset()])
     land(layout.landing, "newest", START + 20 * MINUTE, [asset()])
-    assert medallion.refresh_bronze(spark, layout) == 2
+    assert medallion.refresh_bronze(spark, layout)["rows"] == 2
     assert medallion.refresh_silver(spark, layout)["rows_written"] == 1
     assert medallion.refresh_silver(spark, layout)["rows_written"] == 0
     assert medallion.refresh_silver(spark, layout, late="admit")["rows_written"] == 1
@@ -78,24 +82,45 @@ def test_same_content_in_two_files_is_stored_once(spark, tmp_path, land):
     layout = medallion.Layout(str(tmp_path))
     land(layout.landing, "one", START, [asset(price="1")])
     land(layout.landing, "two", START, [asset(price="2")])
-    assert medallion.refresh_bronze(spark, layout) == 2
+    assert medallion.refresh_bronze(spark, layout)["rows"] == 2
     assert medallion.refresh_silver(spark, layout)["rows_written"] == 1
     assert values(silver(spark, layout), "price") == [(2.0,)]
 
 
-@pytest.mark.parametrize(("folder", "limit"), [("landing", 10), ("landing", 1), ("land ing", 10)])
-def test_named_and_listed_files_ingest_alike(spark, tmp_path, land, folder, limit):
-    class Odd(medallion.Layout):
-        @property
-        def landing(self):
-            return self.folder(folder)
-
-    layout = Odd(str(tmp_path))
-    for i in range(3):
-        land(layout.landing, f"first{i}", START + i, [asset()])
-    assert medallion.refresh_bronze(spark, layout, max_named_files=limit) == 3
-    land(layout.landing, "second", START + 9, [asset()])
-    assert medallion.refresh_bronze(spark, layout, max_named_files=limit) == 1
-    assert medallion.refresh_bronze(spark, layout, max_named_files=limit) == 0
-    bronze = spark.read.parquet(layout.bronze)
-    assert bronze.select("source_file").distinct().count() == bronze.count() == 4
+def test_files_of_any_name_are_ingested_once(spark, tmp_path, land):
+    layout = medallion.Layout(str(tmp_path))
+    for i, name in enumerate(("plain", "a blank", "per%cent", "brackets[1]{2}", "ümlaut")):
+        land(layout.landing, name, START + i * MINUTE, [asset()])
+    assert medallion.refresh_bronze(spark, layout) == {"rows": 5, "quarantined": 0}
+    land(layout.landing, "second", START + 9 * MINUTE, [asset()])
+    assert medallion.refresh_bronze(spark, layout, max_files_per_trigger=1)["rows"] == 1
+    assert medallion.refresh_bronze(spark, layout)["rows"] == 0
+    bronze = medallion.read_bronze(spark, layout)
+    assert bronze.select("source_file").distinct().count() == bronze.count() == 6
+
+
+def test_mixed_documents_all_arrive(spark, tmp_path, land):
+    layout = medallion.Layout(str(tmp_path))
+    land(layout.landing, "array", START, [asset("a", "A"), asset("b", "B")])
+    land(layout.landing, "text", START + MINUTE, json.dumps([asset("a", "A"), asset("c", "C")]))
+    (tmp_path / "landing" / "cut.json").write_text('{"timestamp": 1704067200000, "data": [{"id": "x"')
+    done = medallion.run(spark, str(tmp_path))
+    assert (done["bronze_rows"], done["quarantined"]) == (2, 1)
+    assert values(silver(spark, layout), "asset_id") == [("a",), ("a",), ("b",), ("c",)]
+    assert medallion.read_bronze(spark, layout, corrupt=True).count() == 1
+    (tmp_path / "landing" / "again.json").write_text("no json")
+    with pytest.raises(ValueError, match="no JSON"):
+        medallion.refresh_bronze(spark, layout, on_corrupt="fail")
+
+
+def test_increments_open_only_recent_dates_of_bronze(spark, tmp_path, land):
+    layout = medallion.Layout(str(tmp_path))
+    for day in range(3):
+        land(layout.landing, f"d{day}", START + day * DAY, [asset()])
+    medallion.refresh_bronze(spark, layout)
+    medallion.refresh_silver(spark, layout)
+    new = newer_than(
+        medallion.read_bronze(spark, layout), silver(spark, layout), "ingestion_time", date="ingestion_date"
+    )
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*ingestion_date", plan)

@@ -33,7 +33,7 @@ def test_a_staged_table_is_broadcast_only_below_the_threshold(spark):
 
 @pytest.mark.parametrize(
     ("size", "at_least", "want"),
-    [(0, 8, 8), (1 << 30, 8, 32), (100 << 40, 200, session.MAX_SHUFFLE_PARTITIONS)],
+    [(0, 8, 8), (1 << 30, 8, 32), (100 << 40, 200, 3_276_800)],
 )
 def test_shuffle_partitions_follow_the_data(size, at_least, want):
     assert session.partitions_for(size, at_least) == want

@@ -11,13 +11,13 @@ def test_rename_touches_only_existing_columns(spark):
     assert sinks.rename_columns(df).columns == ["price_usd", "symbol", "volume_usd_24hr"]
 
 
-def test_csv_export_is_one_file_while_it_fits(spark, tmp_path):
+def test_csv_export_does_what_the_caller_says(spark, tmp_path):
     df = spark.range(100, numPartitions=4)
-    assert sinks.export_csv(df, str(tmp_path / "small"))
-    assert len(list((tmp_path / "small").glob("*.csv"))) == 1
-    assert not sinks.export_csv(df, str(tmp_path / "large"), max_rows=99)
-    assert len(list((tmp_path / "large").glob("*.csv"))) > 1
-    for name in ("small", "large"):
+    sinks.export_csv(df, str(tmp_path / "one"), single_file=True)
+    sinks.export_csv(df, str(tmp_path / "many"))
+    assert len(list((tmp_path / "one").glob("*.csv"))) == 1
+    assert len(list((tmp_path / "many").glob("*.csv"))) > 1
+    for name in ("one", "many"):
         back = spark.read.option("header", True).csv(str(tmp_path / name))
         assert (back.columns, back.count()) == (["id"], 100)
 
