@@ -3,6 +3,7 @@
 import pytest
 
 from pricetide.parity.oracle import ORACLE
+from pricetide.parity.queries import QUERIES
 from __spark_entry__ import entry, oracle_sql, queries
 from check import compare, connect
 
@@ -20,7 +21,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
