@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import json
 import sys
-from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -10,10 +9,9 @@ from pyspark.sql import DataFrame
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from helpers import minutes  # noqa: E402
 from pricetide.session import build_session  # noqa: E402
 
-T0 = datetime(2024, 1, 1)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -27,10 +25,6 @@ def spark():
     session.stop()
 
 
-def minutes(n: float) -> datetime:
-    return T0 + timedelta(minutes=n)
-
-
 COLUMNS = (
     "asset_id string, symbol string, name string, price double, market_cap double, "
     "volume_24h double, change_pct_24h double, observed_at timestamp_ntz, source_file string"
@@ -64,23 +58,3 @@ def land():
         (folder / f"{name}.json").write_text(json.dumps(doc, indent=2))
 
     return write
-
-
-def asset(asset_id="a", symbol="A", price="1.5", rank="1", **extra):
-    return {
-        "id": asset_id,
-        "rank": rank,
-        "symbol": symbol,
-        "name": asset_id,
-        "priceUsd": price,
-        "marketCapUsd": "100",
-        "volumeUsd24Hr": "10",
-        "changePercent24Hr": "0.5",
-        **extra,
-    }
-
-
-def values(df, *names):
-    """Rows of the given columns as tuples, sorted with NULLs first."""
-    rows = (tuple(r) for r in df.select(*names).collect())
-    return sorted(rows, key=lambda row: [(v is not None, v) for v in row])

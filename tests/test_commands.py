@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import asset
+from helpers import asset
 from pricetide.__main__ import execute, parse
 
 

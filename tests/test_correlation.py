@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from helpers import values
 from pricetide.operators.correlation import correlation_pairs
 
 

@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import minutes, values
+from helpers import minutes, values
 from pricetide.functions import change_sign, liquidity_band, volatility_band, z_band
 from pricetide.operators import history, indicators, snapshot
 from pricetide.plans import dashboard

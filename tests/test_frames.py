@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from conftest import values
+from helpers import values
 from pricetide.operators import frames, indicators
 
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import minutes, values
+from helpers import minutes, values
 from pricetide.operators import anomalies, history, indicators, snapshot
 from pricetide.plans import kpis
 

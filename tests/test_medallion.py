@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from conftest import asset, values
+from helpers import asset, values
 from pricetide.operators.quality import QualityError
 from pricetide.operators.silver import newer_than
 from pricetide.plans import medallion

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from helpers import values
 from pricetide.operators import quality
 from pricetide.sinks import write_report
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from conftest import asset, minutes, values
+from helpers import asset, minutes, values
 from pricetide.operators import bronze, silver
 from pricetide.sources import read_landing
 

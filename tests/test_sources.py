@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from conftest import asset, values
+from helpers import asset, values
 from pricetide.functions import epoch_ms_to_timestamp, safe_double, safe_int
 from pricetide.operators import bronze
 from pricetide.schema import BRONZE

@@ -1,4 +1,4 @@
-from conftest import asset, values
+from helpers import asset, values
 from pricetide.operators import anomalies, history
 from pricetide.streaming import (
     start_batches,
