@@ -17,7 +17,14 @@ from pyspark.sql import SparkSession
 from pricetide.operators.quality import content_sample, layer_profile
 from pricetide.plans import medallion
 from pricetide.session import build_session
-from pricetide.sinks import TABLES, export_csv, jdbc_writer, load_tables, require_loaded
+from pricetide.sinks import (
+    TABLES,
+    export_csv,
+    jdbc_writer,
+    load_new_rows,
+    load_tables,
+    require_loaded,
+)
 from pricetide.sources import read_table_or_none
 
 STAGES = ("run", "bronze", "silver", "quality", "gold", "profile", "sample", "export", "serve")
@@ -31,7 +38,8 @@ def parse(argv: Sequence[str] | None) -> argparse.Namespace:
     parser.add_argument("--out", help="folder of the CSV export")
     parser.add_argument("--url", help="JDBC address to serve to")
     parser.add_argument("--prefix", default="crypto_", help="prefix of served table names")
-    parser.add_argument("--mode", choices=("overwrite", "append"), default="overwrite")
+    parser.add_argument("--mode", choices=("overwrite", "append"), default="overwrite",
+                        help="append: growing tables get only rows not served yet")
     parser.add_argument(
         "--property", action="append", default=[], metavar="KEY=VALUE", help="JDBC property"
     )
@@ -73,8 +81,13 @@ def execute(spark: SparkSession, args: argparse.Namespace) -> object:
         export_csv(gold["top_assets"], args.out, single_file=True)
         return {"exported": args.out}
     properties = dict(item.split("=", 1) for item in args.property)
-    writer = jdbc_writer(args.url, properties, args.mode)
-    results = load_tables(spark, gold, writer, args.prefix)
+    writer = jdbc_writer(args.url, properties)
+    if args.mode == "append":
+        append = jdbc_writer(args.url, properties, "append")
+        marks = layout.folder("_served")
+        results = load_new_rows(spark, gold, writer, append, marks, args.prefix)
+    else:
+        results = load_tables(spark, gold, writer, args.prefix)
     results.show(len(TABLES), truncate=False)
     require_loaded(results)
     return {"served": len(TABLES)}

@@ -5,9 +5,11 @@ from pricetide.sinks.files import (  # noqa: F401
     write_report,
 )
 from pricetide.sinks.serving import (  # noqa: F401
+    GROWING,
     SERVING_NAMES,
     TABLES,
     jdbc_writer,
+    load_new_rows,
     load_tables,
     require_loaded,
     rename_columns,

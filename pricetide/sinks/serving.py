@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricetide.session import observed_counts
+from pricetide.sources.tables import read_table_or_none
 
 # Fixed serving column names, for camelCase inputs and for this package's own names.
 SERVING_NAMES = {
@@ -37,6 +39,13 @@ TABLES = (
     "history_stats",
 )
 
+# Served tables whose older rows stay as they are while newer ones come, with their time.
+GROWING = {
+    "price_history": "observed_at",
+    "price_changes": "observed_at",
+    "moving_averages": "observed_at",
+}
+
 WriteTable = Callable[[DataFrame, str], None]
 
 LOAD_RESULT = T.StructType(
@@ -48,6 +57,15 @@ LOAD_RESULT = T.StructType(
     ]
 )
 
+# Up to which time a growing table is served; NULL while a load of it is under way.
+MARK = T.StructType(
+    [
+        T.StructField("table_name", T.StringType()),
+        T.StructField("served_to", T.TimestampType()),
+        T.StructField("set_at", T.TimestampType()),
+    ]
+)
+
 
 def rename_columns(df: DataFrame, names: Mapping[str, str] = SERVING_NAMES) -> DataFrame:
     """Rename the columns that exist; the rest stay."""
@@ -97,20 +115,71 @@ def load_tables(
     Every table is tried. Row counts come from the write itself. Use
     :func:`require_loaded` to turn a failed row into an error.
     """
+    results = [_load(df, f"{prefix}{name}", write) for name, df in tables.items()]
+    return spark.createDataFrame(results, LOAD_RESULT)
+
+
+def load_new_rows(
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    write: WriteTable,
+    append: WriteTable,
+    marks: str,
+    prefix: str = "crypto_",
+    growing: Mapping[str, str] = GROWING,
+) -> DataFrame:
+    """As :func:`load_tables`, but growing tables get only rows after the last served time.
+
+    That time is kept in the table ``marks`` and is unset while a load runs. So the first
+    load of a growing table, and the one after a failed load, go through ``write`` and
+    replace it; others go through ``append``. Where late rows are admitted, older rows
+    change as well: use :func:`load_tables` then.
+    """
     results = []
     for name, df in tables.items():
-        observed = Observation(f"load_{name}")
-        counted = rename_columns(df).observe(observed, F.count(F.lit(1)).alias("row_count"))
-        try:
-            write(counted, f"{prefix}{name}")
-        except Exception as error:  # noqa: BLE001 - reported per table
-            results.append((f"{prefix}{name}", False, None, str(error)))
+        table, time = f"{prefix}{name}", growing.get(name)
+        if time is None:
+            results.append(_load(df, table, write))
+            continue
+        served = _served_to(spark, marks, table)
+        newest = df.agg(F.max(F.col(time).cast("timestamp"))).first()[0]
+        if served is not None and (newest is None or newest <= served):
+            results.append((table, True, 0, None))
+            continue
+        _set_mark(spark, marks, table, None)
+        if served is None:
+            result = _load(df, table, write)
         else:
-            rows = observed_counts(observed, "row_count")["row_count"]
-            results.append((f"{prefix}{name}", True, rows, None))
+            result = _load(df.filter(F.col(time).cast("timestamp") > F.lit(served)), table, append)
+        if result[1]:
+            _set_mark(spark, marks, table, newest)
+        results.append(result)
     return spark.createDataFrame(results, LOAD_RESULT)
 
 
+def _load(df: DataFrame, table: str, write: WriteTable) -> tuple[str, bool, int | None, str | None]:
+    observed = Observation(f"load_{table}")
+    counted = rename_columns(df).observe(observed, F.count(F.lit(1)).alias("row_count"))
+    try:
+        write(counted, table)
+    except Exception as error:  # noqa: BLE001 - reported per table
+        return table, False, None, str(error)
+    return table, True, observed_counts(observed, "row_count")["row_count"], None
+
+
+def _served_to(spark: SparkSession, marks: str, table: str) -> datetime | None:
+    stored = read_table_or_none(spark, marks, MARK)
+    if stored is None:
+        return None
+    own = stored.filter(F.col("table_name") == table)
+    return own.agg(F.max_by("served_to", "set_at")).first()[0]
+
+
+def _set_mark(spark: SparkSession, marks: str, table: str, served_to: datetime | None) -> None:
+    row = spark.createDataFrame([(table, served_to, datetime.now())], MARK)
+    row.write.mode("append").parquet(marks)
+
+
 def require_loaded(results: DataFrame) -> None:
     """Raise if any table of a load failed."""
     failed = [row["table_name"] for row in results.filter(~F.col("ok")).collect()]

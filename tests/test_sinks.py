@@ -2,7 +2,7 @@ from unittest.mock import MagicMock
 
 import pytest
 
-from conftest import values
+from helpers import values
 from pricetide import sinks
 
 
@@ -51,6 +51,38 @@ def test_load_reports_every_table_and_row_counts(spark, tmp_path):
     sinks.require_loaded(result.filter("ok"))
 
 
+def test_growing_tables_get_only_new_rows(spark, tmp_path):
+    broken = False
+
+    def writer(mode):
+        def write(df, table):
+            df.write.mode(mode).parquet(str(tmp_path / table))
+            if broken and table.endswith("price_history"):
+                raise RuntimeError("lost")
+
+        return write
+
+    def load(minutes):
+        times = ", ".join(f"('A', {m}.0, timestamp_seconds({m * 60}))" for m in minutes)
+        history = spark.sql(f"select * from values {times} as t(symbol, price, observed_at)")
+        tables = {"price_history": history, "volatility": spark.range(2)}
+        marks = str(tmp_path / "marks")
+        done = sinks.load_new_rows(spark, tables, writer("overwrite"), writer("append"), marks)
+        stored = spark.read.parquet(str(tmp_path / "crypto_price_history"))
+        assert spark.read.parquet(str(tmp_path / "crypto_volatility")).count() == 2
+        row = done.filter("table_name = 'crypto_price_history'").first()
+        return row["ok"], row["row_count"], [int(p) for (p,) in values(stored, "price_usd")]
+
+    assert load([1, 2]) == (True, 2, [1, 2])
+    assert load([1, 2, 3]) == (True, 1, [1, 2, 3])
+    assert load([1, 2, 3]) == (True, 0, [1, 2, 3])
+    broken = True
+    assert load([1, 2, 3, 4])[0] is False
+    broken = False
+    # What the failed load left is replaced, not added to.
+    assert load([1, 2, 3, 4, 5]) == (True, 5, [1, 2, 3, 4, 5])
+
+
 def test_jdbc_writer_options():
     df = MagicMock()
     chain = df.write.mode.return_value
