@@ -17,12 +17,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from pricetide.llm.text import map_arrow, strings
+from pricetide.session import stage
 
 PROFILE_SIZE = 300
 MAX_GRAM = 3
 # Documents per language that profiles are learnt from, at most.
 TRAIN_DOCS = 2000
 FOLDS = 5
+# Bits of the hash that documents are drawn by; a double holds them exactly.
+DRAW_BITS = 53
 UNKNOWN = "und"
 
 SPACE = 32
@@ -118,15 +121,16 @@ def learn_profiles(
     ).filter(
         (F.col("crc") % FOLDS != 0) & F.col("text").isNotNull() & F.col("lang").isNotNull()
     )
-    # Ids are drawn without their texts. Thinning first by the hash spares most of the
-    # sort; a language too rare for that keeps all its documents.
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # Thinning by the hash while reading leaves about twice as many documents as wanted, so
+    # that few texts are shuffled; a language too rare for that keeps all its documents.
+    # The sizes are a written table, whose own size decides whether it is broadcast.
+    sizes = stage(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
     share = F.least(F.lit(1.0), F.lit(2.0 * train_docs) / F.col("n"))
-    thin = labelled.join(sizes, "lang").filter(F.xxhash64("id") % 1_000_000 < share * 1_000_000)
+    drawn = labelled.withColumn("order", F.shiftrightunsigned(F.xxhash64("id"), 64 - DRAW_BITS))
+    thin = drawn.join(sizes, "lang").filter(F.col("order") < share * float(1 << DRAW_BITS))
     best = Window.partitionBy("lang").orderBy("order", "id")
     chosen = (
-        thin.withColumn("order", F.xxhash64("id"))
-        .withColumn("place", F.row_number().over(best))
+        thin.withColumn("place", F.row_number().over(best))
         .filter(F.col("place") <= train_docs)
     )
 
