@@ -70,16 +70,18 @@ def dedup_lines(
     with_id = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     keys = stage(line_keys(with_id, min_chars), "line-keys")
     # Grouping by document first splits the rows of a frequent line, and then its count
-    # is summed from few partial ones.
+    # is summed from few partial ones. Written first, small tables are broadcast by their
+    # size, and of larger ones AQE can split the rows of a frequent line in the join.
     frequent = (
         keys.groupBy("high", "low", "doc_id")
         .agg(F.lit(1).alias("one"))
         .groupBy("high", "low")
         .agg(F.count("one").alias("n"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n") >= min_docs)
+        .select("high", "low", "keeper")
     )
     drops = (
-        keys.join(frequent, ["high", "low"])
+        keys.join(stage(frequent, "frequent-lines"), ["high", "low"])
         .filter("doc_id != keeper")
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("high", "low")).alias("drops"))
