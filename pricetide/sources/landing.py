@@ -22,6 +22,9 @@ PAYLOAD_FIELDS = (
 )
 # Text that stands for an explicit JSON null in the fields sent as text.
 NULL_TEXT = "None"
+# Older than any landing file, compared with the newest one. Spark's own limit of a week
+# would skip late files for ever.
+MAX_FILE_AGE = "36500d"
 
 
 def _landing_schema(data_as: str) -> T.StructType:
@@ -75,6 +78,7 @@ def stream_landing(
 ) -> DataFrame:
     """The streaming form of :func:`read_landing`.
 
+    Files are read whatever their modification time; the driver remembers all of them.
     ``keep_corrupt`` adds the text of files that are no JSON documents, which otherwise
     come as rows of NULLs.
     """
@@ -86,6 +90,7 @@ def stream_landing(
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
+        .option("maxFileAge", MAX_FILE_AGE)
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -1,5 +1,7 @@
 import json
+import os
 import re
+import time
 
 import pytest
 
@@ -99,6 +101,18 @@ def test_files_of_any_name_are_ingested_once(spark, tmp_path, land):
     assert bronze.select("source_file").distinct().count() == bronze.count() == 6
 
 
+def test_files_of_old_dates_are_ingested_in_later_runs(spark, tmp_path, land):
+    layout = medallion.Layout(str(tmp_path))
+    land(layout.landing, "new", START, [asset()])
+    assert medallion.refresh_bronze(spark, layout)["rows"] == 1
+    for days in (10, 4000):
+        land(layout.landing, f"old{days}", START - days * DAY, [asset()])
+        then = time.time() - days * 86_400
+        os.utime(tmp_path / "landing" / f"old{days}.json", (then, then))
+        assert medallion.refresh_bronze(spark, layout)["rows"] == 1
+    assert medallion.refresh_bronze(spark, layout)["rows"] == 0
+
+
 def test_mixed_documents_all_arrive(spark, tmp_path, land):
     layout = medallion.Layout(str(tmp_path))
     land(layout.landing, "array", START, [asset("a", "A"), asset("b", "B")])
