@@ -176,6 +176,29 @@ def test_licences_of_odd_rows(odd, docs):
     assert scan_licenses(docs([])).count() == 0
 
 
+def test_licences_in_other_words_and_across_lines(spark, docs):
+    plain = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 150").collect()
+    words = " ".join(r["text"].replace("\n", " ") for r in plain[:3]).split()
+    other = {
+        1000: ("Licensed under the GNU General Public License, version 3.", "gpl"),
+        1001: ("Distributed under the MIT License.", "mit"),
+        1002: ("Licensed under CC BY-NC 3.0.", "cc-by-nc"),
+    }
+    wrapped = "A file.\n\nThis program is free software: you can\nredistribute it and/or modify it under\nthe terms of the GNU General Public\nLicense as published by the Free\nSoftware Foundation\n\nMore of it."
+    two = "Licensed under the MIT License. Licensed under the Apache License, Version 2.0."
+    long = " ".join([*words[:500], "Released under the ISC License.", *words[500:900]])
+    rows = [(i, f"Some words.\n\n{t}\n\nOf other things.") for i, (t, _) in other.items()]
+    rows += [(2000, wrapped), (2001, two), (2002, long)] + [(r["doc_id"], r["text"]) for r in plain]
+    found = {}
+    for r in scan_licenses(docs(rows)).filter("doc_id >= 1000").collect():
+        found.setdefault(r["doc_id"], []).append((r["paragraph"], r["family"], r["confirmed"]))
+    for i, (_, family) in other.items():
+        assert found[i] == [(2, family, False)]
+    assert found[2000] == [(2, "gpl", True)]
+    assert sorted(found[2001]) == [(0, "apache-2.0", True), (0, "mit", True)]
+    assert found[2002] == [(0, "isc", True)]
+
+
 # Pages
 
 
