@@ -22,8 +22,10 @@ from pricetide.session import stage
 
 # A subtree is the template's if it is on so many pages of a host, and on so large a part
 # of them: the first share is for containers outside the main content, the second for
-# paragraphs and headings there and for containers inside it.
+# paragraphs and headings, and for containers inside it. So many pages are enough for a
+# container outside, however small their share.
 MIN_PAGES = 3
+MANY_PAGES = 50
 MIN_SHARE = 0.02
 MIN_SHARE_OF_TEXT = 0.5
 
@@ -50,6 +52,8 @@ BLOCKS = frozenset(
 CLOSED_BY_BLOCK = BLOCKS - {"br"}
 CONTENT = frozenset(["article", "main"])
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre".split())
+# Single cells and items, which go only with what they are part of.
+SINGLE = frozenset("li dt dd td th".split())
 NEVER_TEMPLATE = CONTENT | {"html", "body", "br", "hr"}
 # Words of class, id and role that name what surrounds an article.
 AROUND = frozenset(
@@ -140,14 +144,14 @@ def _close(stack: list[Element], tag: str) -> None:
             return
 
 
-def walk(root: Element) -> list[tuple[Element, bool, bool]]:
-    """All elements in page order, and whether each is inside main content or holds it."""
-    out: list[tuple[Element, bool]] = []
-    todo = [(root, False)]
+def walk(root: Element) -> list[tuple[Element, Element | None, bool]]:
+    """All elements in page order, the main content each is inside, and whether it holds any."""
+    out: list[tuple[Element, Element | None]] = []
+    todo: list[tuple[Element, Element | None]] = [(root, None)]
     while todo:
         element, inside = todo.pop()
         out.append((element, inside))
-        inside = inside or element.tag in CONTENT
+        inside = inside or (element if element.tag in CONTENT else None)
         todo += [(p, inside) for p in element.parts[::-1] if isinstance(p, Element)]
     holds: dict[int, bool] = {}
     for element, _ in reversed(out):  # the inner ones first
@@ -164,22 +168,43 @@ def walk(root: Element) -> list[tuple[Element, bool, bool]]:
     return [(e, inside, holds[id(e)]) for e, inside in out]
 
 
-def template_candidates(page: str) -> tuple[int, dict[int, bool]]:
+def template_candidates(page: str) -> tuple[int, dict[int, tuple[bool, int]]]:
     """A hash of the whole page, and those of the block subtrees that may be a template's,
-    with whether each needs the larger share.
+    with whether each needs the larger share and the hash of what it was found in: for
+    paragraphs inside the main content that content, else the page.
 
-    What holds the main content is never a candidate, nor are paragraphs inside it.
+    What holds the main content is never a candidate, nor are single cells and items.
     """
     root = parse(page)
-    found: dict[int, bool] = {}
+    found: dict[int, tuple[bool, int]] = {}
     for element, inside, holds in walk(root):
         text = element.tag in TEXT_BLOCKS
-        if element.tag in BLOCKS - NEVER_TEMPLATE and not holds and not (inside and text):
-            strict = inside or text
-            found[element.digest] = found.get(element.digest, True) and strict
+        if element.tag in BLOCKS - NEVER_TEMPLATE - SINGLE and not holds:
+            around = inside.digest if inside and text else root.digest
+            strict, known = found.get(element.digest, (True, around))
+            # Outside the content as well, the page counts.
+            around = root.digest if root.digest in (around, known) else known
+            found[element.digest] = (strict and bool(inside or text), around)
     return root.digest, found
 
 
+def own_words(body: Element, template: frozenset[int] | set[int]) -> frozenset[int]:
+    """Hashes of the template's paragraphs in an article that is mostly of such: a copy."""
+    recurring: set[int] = set()
+    size = {False: 0, True: 0}
+    todo = [(body, False)]
+    while todo:
+        part, gone = todo.pop()
+        if isinstance(part, str):
+            size[gone] += len("".join(part.split()))
+        elif not part.around():
+            if part.tag in TEXT_BLOCKS and part.digest in template:
+                recurring.add(part.digest)
+                gone = True
+            todo += [(p, gone) for p in part.parts]
+    return frozenset(recurring) if size[True] > size[False] else frozenset()
+
+
 def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """What is left without the template and what is declared not to be content: the
     page's articles, or else all of it; blocks are joined by line ends."""
@@ -204,6 +229,7 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
             blocks.append(text)
         line.clear()
 
+    copied = frozenset().union(*(own_words(body, template) for body in bodies)) if template else frozenset()
     todo = (bodies or [root])[::-1]
     while todo:
         part = todo.pop()
@@ -211,7 +237,9 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
             end_block()
         elif isinstance(part, str):
             line.append(part)
-        elif part.around() or (part.digest in template and part.tag not in NEVER_TEMPLATE):
+        elif part.around() or (
+            part.digest in template and part.tag not in NEVER_TEMPLATE and part.digest not in copied
+        ):
             if part.tag in BLOCKS:
                 end_block()
         else:
@@ -228,6 +256,7 @@ def extract_pages(
     min_pages: int = MIN_PAGES,
     min_share: float = MIN_SHARE,
     min_share_of_text: float = MIN_SHARE_OF_TEXT,
+    many_pages: int = MANY_PAGES,
     page_id: str = "page_id",
     url: str = "url",
     html: str = "html",
@@ -235,9 +264,12 @@ def extract_pages(
     """The main text of every page, from its whole HTML.
 
     A block subtree is its host's template if it recurs on at least ``min_pages`` pages of
-    the host and on ``min_share`` of them; for paragraphs and headings, and for containers
-    inside ``<article>`` or ``<main>``, on ``min_share_of_text``. Identical pages count
-    once, and paragraphs inside the article never go. With the template go elements that
+    the host and on ``min_share`` of them, or on ``many_pages``; for paragraphs and
+    headings, and for containers inside ``<article>`` or ``<main>``, on
+    ``min_share_of_text``. Identical pages count once; for paragraphs inside the article,
+    identical articles do, and none goes from an article most of whose text would go, as
+    it is a copy. Single cells and list items go only with what they are part of. With the
+    template go elements that
     by tag, class, id or role are navigation, footers, forms, scripts, adverts, notices or
     comments. Of a page with articles, they are what stays. Character references are
     decoded, white space inside a block becomes one space, and blocks are joined in page
@@ -264,10 +296,10 @@ def extract_pages(
             digest, found = template_candidates(value or "")
             # The page itself, so that pages without candidates count for their host.
             hashes += [0, *found]
-            strict += [True, *found.values()]
+            strict += [True, *(larger for larger, _ in found.values())]
             ids += [page] * (len(found) + 1)
             hosts += [name] * (len(found) + 1)
-            whole += [digest] * (len(found) + 1)
+            whole += [digest, *(around for _, around in found.values())]
         digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (whole, hashes)]
         columns = [long_array(ids), pa.array(hosts, pa.string()), *digests, pa.array(strict, pa.bool_())]
         return pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "page", "hash", "strict"])
@@ -290,7 +322,7 @@ def extract_pages(
     recurring = (
         counted.filter((F.col("hash") != 0) & (F.col("n") >= min_pages))
         .join(sizes, "host")
-        .filter(F.col("n") >= F.col("pages") * share)
+        .filter((F.col("n") >= F.col("pages") * share) | (~F.col("strict") & (F.col("n") >= many_pages)))
         .select("host", "hash")
     )
     own = subtrees.join(recurring, ["host", "hash"]).groupBy("page_id").agg(F.collect_set("hash").alias("template"))

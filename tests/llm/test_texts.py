@@ -245,6 +245,30 @@ def test_copies_of_an_article_stay(spark):
     assert {r["text"] for r in extract_pages(table).collect()} == {"H\nSame words."}
 
 
+def test_what_only_host_counts_can_remove(spark):
+    rows = []
+    for i in range(12):
+        notice = "<p>Read our terms of use.</p>"
+        body = f"<article><h1>Title {i}</h1><p>Text {i} of the article itself.</p>{notice}</article>"
+        rows.append((i, f"https://a.example/{i}", PAGE.format(body)))
+        rows.append((100 + i, f"https://b{i}.example/", PAGE.format(body)))
+        near = f"<article><h1>Day {i}</h1><p>The same long words of one article.</p></article>"
+        rows.append((200 + i, f"https://n.example/{i}", PAGE.format(near)))
+        cells = f"<table><tr><td>yes</td><td>{i}</td></tr></table>"
+        rows.append((300 + i, f"https://t.example/{i}", PAGE.format(cells)))
+    for i in range(400):
+        rare = "<div><span>Seen seldom</span></div>" if i < 6 else ""
+        rows.append((1000 + i, f"https://l.example/{i}", PAGE.format(f"{rare}<div><p>Text {i} itself.</p></div>")))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in extract_pages(table, many_pages=5).collect()}
+    for i in range(12):
+        text = f"Title {i}\nText {i} of the article itself."
+        assert got[i] == text and got[100 + i] == f"{text}\nRead our terms of use."
+        assert got[200 + i] == f"Day {i}\nThe same long words of one article."
+        assert got[300 + i] == f"yes\n{i}"
+    assert all(got[1000 + i] == f"Text {i} itself." for i in range(400))
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (2, "", "<p>x"), (None, "not a url", "<p>y"), (3, "http://", "<" * 500), (4, "http://h", "<div>" * 3000 + "deep")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
