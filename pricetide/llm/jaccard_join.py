@@ -425,8 +425,8 @@ def jaccard_components(
         for partners in (FIRST_PARTNERS, None):
             found = tree_candidates(members, labels, nodes, percent, partners)
             found = stage(found.join(tested, ["u", "v"], "left_anti"), "candidates")
-            if found.isEmpty():
-                break
+            if found.isEmpty():  # of the likeliest partners; the others are still untested
+                continue
             more = stage(link_pairs(docs, nodes, found, size, percent), "links")
             links = links.union(more)
             labels = stage(connected_components(links), "labels")
