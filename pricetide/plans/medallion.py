@@ -19,6 +19,7 @@ from pricetide.sinks import append_silver, overwrite_parquet, write_report
 from pricetide.sources import read_table, read_table_or_none, stream_landing
 from pricetide.streaming import start_parquet
 
+PROGRESS_KEPT = "spark.sql.streaming.numRecentProgressUpdates"
 
 
 @dataclass(frozen=True)
@@ -75,10 +76,16 @@ def refresh_bronze(
     counted = rows.observe(
         "ingest", F.count(F.lit(1)).alias("all"), F.sum("corrupt").alias("corrupt")
     )
-    query = start_parquet(
-        counted, layout.bronze, layout.folder("_checkpoints/bronze"), "corrupt", "ingestion_date"
-    )
-    query.awaitTermination()
+    # The counts come from the progress of every batch, of which Spark keeps 100.
+    before = spark.conf.get(PROGRESS_KEPT)
+    spark.conf.set(PROGRESS_KEPT, str(2**31 - 1))
+    try:
+        query = start_parquet(
+            counted, layout.bronze, layout.folder("_checkpoints/bronze"), "corrupt", "ingestion_date"
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROGRESS_KEPT, before)
     found = [p.observedMetrics["ingest"] for p in query.recentProgress if "ingest" in p.observedMetrics]
     total = sum(row["all"] or 0 for row in found)
     bad = sum(row["corrupt"] or 0 for row in found)

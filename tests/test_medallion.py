@@ -113,6 +113,22 @@ def test_files_of_old_dates_are_ingested_in_later_runs(spark, tmp_path, land):
     assert medallion.refresh_bronze(spark, layout)["rows"] == 0
 
 
+def test_files_of_every_batch_are_counted(spark, tmp_path, land):
+    layout = medallion.Layout(str(tmp_path))
+    for i in range(5):
+        land(layout.landing, f"s{i}", START + i * MINUTE, [asset()])
+    (tmp_path / "landing" / "cut.json").write_text("no json")
+    os.utime(tmp_path / "landing" / "cut.json", (1, 1))
+    kept = spark.conf.get(medallion.PROGRESS_KEPT)
+    spark.conf.set(medallion.PROGRESS_KEPT, "2")
+    try:
+        done = medallion.refresh_bronze(spark, layout, max_files_per_trigger=1)
+        assert spark.conf.get(medallion.PROGRESS_KEPT) == "2"
+    finally:
+        spark.conf.set(medallion.PROGRESS_KEPT, kept)
+    assert done == {"rows": 5, "quarantined": 1}
+
+
 def test_mixed_documents_all_arrive(spark, tmp_path, land):
     layout = medallion.Layout(str(tmp_path))
     land(layout.landing, "array", START, [asset("a", "A"), asset("b", "B")])
