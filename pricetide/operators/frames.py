@@ -2,17 +2,17 @@
 
 A plain ``Window.partitionBy(symbol)`` sorts a symbol's whole history in one task, and
 AQE does not split window partitions. Here a symbol above ``rows_per_chunk`` is cut
-into chunks of consecutive rows:
+into chunks of consecutive cells, which are stretches of time:
 
-1. every ``rows_per_chunk / SAMPLES_PER_CHUNK``-th position, picked by a content hash,
-   locates the cut points of the hot symbols;
-2. the window runs per (symbol, chunk). A frame that looks back ``lookback`` rows is
-   complete from the chunk's row ``lookback + 1`` on;
-3. the first and last ``lookback`` rows of each chunk, the seams, go through the same
-   window once more per symbol, which completes the frames at the chunk starts.
+1. rows are counted for each symbol and cell, an aggregate with map-side combine;
+2. running sums of these counts say which chunk a cell is in, and for which later chunks
+   it holds rows that their first frames look back to;
+3. rows go to the chunk of their cell, and once more to those that look back to it. The
+   window runs per (symbol, chunk), and the rows that were only looked back to are dropped.
 
-All rows shuffle once; sampled positions and seams are small. Results equal those of
-the plain window.
+The rows are sorted once, whatever the number of chunks, and the result equals the plain
+window's. What is added to a chunk is at most the cells that hold ``lookback`` rows before
+it, so cells should hold few rows against a chunk.
 """
 
 from __future__ import annotations
@@ -26,40 +26,45 @@ from pricetide.schema import OBS, Cols
 from pricetide.session import stage
 
 ROWS_PER_CHUNK = 4_000_000
-SAMPLES_PER_CHUNK = 16
+CELL_SECONDS = 3600
 
 AddColumns = Callable[[DataFrame, WindowSpec], DataFrame]
 
 
-def cut_points(df: DataFrame, rows_per_chunk: int, c: Cols = OBS) -> DataFrame:
-    """Sorted cut positions for each symbol with about two chunks of rows or more.
+def time_cell(time: Column, seconds: int) -> Column:
+    """The number of the stretch of ``seconds`` that holds ``time``; NULL for NULL."""
+    return F.floor(time.cast("timestamp").cast("long") / F.lit(seconds))
 
-    The sample only decides where to cut. It is picked by content, so a recomputed task
-    finds the same cuts, and it is smaller than the data by ``rows_per_chunk / 16``.
-    """
-    stride = max(1, rows_per_chunk // SAMPLES_PER_CHUNK)
-    per_chunk = max(1, rows_per_chunk // stride)
-    sampled = (
-        df.filter(F.pmod(F.xxhash64(c.symbol, *c.order), F.lit(stride)) == 0)
-        .select(F.col(c.symbol).alias("_symbol"), F.struct(*c.order).alias("_at"))
-    )
-    positions = sampled.groupBy("_symbol").agg(F.sort_array(F.collect_set("_at")).alias("_all"))
-    hot = positions.filter(F.size("_all") >= 2 * per_chunk)
-    every = F.sequence(F.lit(per_chunk), F.size("_all") - 1, F.lit(per_chunk))
-    return hot.select(
-        "_symbol", F.transform(every, lambda i: F.get("_all", i)).alias("_cuts")
-    )
 
+def row_counts(df: DataFrame, seconds: int = CELL_SECONDS, c: Cols = OBS) -> DataFrame:
+    """Rows per symbol and cell: ``_symbol``, ``_cell``, ``_rows``."""
+    cell = time_cell(F.col(c.time), seconds)
+    keyed = df.select(F.col(c.symbol).alias("_symbol"), cell.alias("_cell"))
+    return keyed.groupBy("_symbol", "_cell").agg(F.count(F.lit(1)).alias("_rows"))
 
-def _chunk_of(position: Column, cuts: Column, max_cuts: int) -> Column:
-    """How many cuts are at or before ``position``, NULL without cuts: a binary search."""
-    steps = [F.lit(1 << bit) for bit in reversed(range(max_cuts.bit_length()))]
 
-    def advance(found: Column, step: Column) -> Column:
-        fits = F.get(cuts, found + step - 1) <= position
-        return F.when(fits, found + step).otherwise(found)
+def chunk_cells(counts: DataFrame, rows_per_chunk: int, lookback: int) -> DataFrame:
+    """``_chunks`` of the cells of symbols with two chunks of rows or more.
 
-    return F.when(cuts.isNotNull(), F.aggregate(F.array(*steps), F.lit(0), advance))
+    The first is the cell's own chunk; the others begin less than ``lookback`` rows after
+    the cell, so their first frames reach into it.
+    """
+    symbol = Window.partitionBy("_symbol")
+    in_time = symbol.orderBy("_cell")
+    before = F.coalesce(F.sum("_rows").over(in_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumns({"_before": before, "_all": F.sum("_rows").over(symbol)})
+    placed = placed.filter(F.col("_all") >= 2 * rows_per_chunk).withColumns(
+        {
+            "_chunk": F.floor(F.col("_before") / F.lit(rows_per_chunk)),
+            "_end": F.col("_before") + F.col("_rows"),
+        }
+    )
+    following = F.lead("_chunk").over(in_time)
+    starts = placed.withColumn("_starts", F.when(following != F.col("_chunk"), following))
+    # Frames by the number of rows: the cells that end within the look-back of this one's end.
+    near = symbol.orderBy("_end").rangeBetween(0, max(lookback, 1) - 1)
+    chunks = F.concat(F.array("_chunk"), F.collect_list("_starts").over(near))
+    return starts.select("_symbol", "_cell", chunks.alias("_chunks"))
 
 
 def over_rows(
@@ -68,47 +73,29 @@ def over_rows(
     lookback: int,
     rows_per_chunk: int | None = ROWS_PER_CHUNK,
     c: Cols = OBS,
+    cell_seconds: int = CELL_SECONDS,
 ) -> DataFrame:
     """``add_columns(df, window)`` for a window over each symbol in time order.
 
     ``add_columns`` adds window columns that depend on a row and at most ``lookback``
     rows before it. ``rows_per_chunk=None`` forces the plain window. The order (time,
-    asset) must be unique within a symbol, which silver's dedupe sees to.
+    asset) must be unique within a symbol, which silver's dedupe sees to. Rows of one
+    symbol and cell stay together, so a single instant is not cut.
     """
     order = [F.asc(name) for name in c.order]
     plain = Window.partitionBy(c.symbol).orderBy(*order)
     if rows_per_chunk is None:
         return add_columns(df, plain)
 
-    cuts = stage(cut_points(df, rows_per_chunk, c), "cut-points")
-    max_cuts = cuts.agg(F.max(F.size("_cuts"))).first()[0]
-    if max_cuts is None:
+    counts = stage(row_counts(df, cell_seconds, c), "row-counts")
+    largest = counts.groupBy("_symbol").agg(F.sum("_rows").alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) < 2 * rows_per_chunk:
         return add_columns(df, plain)
 
-    position = F.struct(*c.order)
-    chunked = (
-        df.join(cuts, F.col(c.symbol).eqNullSafe(F.col("_symbol")), "left")
-        .withColumn("_chunk", _chunk_of(position, F.col("_cuts"), max_cuts))
-        .drop("_symbol", "_cuts")
-    )
+    chunks = stage(chunk_cells(counts, rows_per_chunk, lookback), "chunk-cells")
+    same = F.col(c.symbol).eqNullSafe(F.col("_symbol")) & F.col("_at").eqNullSafe(F.col("_cell"))
+    placed = df.withColumn("_at", time_cell(F.col(c.time), cell_seconds)).join(chunks, same, "left")
+    only = F.array(F.lit(0).cast("long"))
+    dealt = placed.select(*df.columns, F.posexplode(F.coalesce("_chunks", only)).alias("_looked_at", "_chunk"))
     local = Window.partitionBy(c.symbol, "_chunk").orderBy(*order)
-    # Counts the rows of a chunk up to this one; 0 throughout symbols without cuts. As
-    # a window result it also keeps the filters below above the shuffle, so that both
-    # branches read the same one.
-    row_in_chunk = F.count("_chunk").over(local.rowsBetween(Window.unboundedPreceding, 0))
-    body = (
-        add_columns(chunked, local)
-        .withColumn("_row", row_in_chunk)
-        .withColumn("_tail", F.lead(F.lit(1), lookback).over(local).isNull())
-    )
-    at_start = F.col("_row").between(1, lookback)
-    starved = F.coalesce(at_start & (F.col("_chunk") > 0), F.lit(False))
-    complete = body.filter(~starved)
-
-    seams = (
-        body.filter((F.col("_row") > 0) & (at_start | F.col("_tail")))
-        .withColumn("_starved", starved)
-        .select(*df.columns, "_starved")
-    )
-    repaired = add_columns(seams, plain).filter("_starved")
-    return complete.drop("_chunk", "_row", "_tail").unionByName(repaired.drop("_starved"))
+    return add_columns(dealt, local).filter("_looked_at = 0").drop("_looked_at", "_chunk")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from pricetide.functions import percent_of, rounded
-from pricetide.operators.frames import ROWS_PER_CHUNK, over_rows
+from pricetide.operators.frames import CELL_SECONDS, ROWS_PER_CHUNK, over_rows
 from pricetide.schema import OBS, Cols
 
 MOVING_AVERAGE_ROWS = (7, 14)
@@ -82,6 +82,7 @@ def moving_averages(
     digits: int | None = 4,
     rows_per_chunk: int | None = ROWS_PER_CHUNK,
     c: Cols = OBS,
+    cell_seconds: int = CELL_SECONDS,
 ) -> DataFrame:
     """Mean of the last n prices for each n; a shorter start averages what exists."""
 
@@ -90,8 +91,8 @@ def moving_averages(
             {f"ma_{n}": _average(n, window, digits, c) for n in rows}
         )
 
-    framed = over_rows(_series(df, c), add, max(max(rows) - 1, 1), rows_per_chunk, c)
-    return framed.drop(c.asset_id)
+    lookback = max(max(rows) - 1, 1)
+    return over_rows(_series(df, c), add, lookback, rows_per_chunk, c, cell_seconds).drop(c.asset_id)
 
 
 def momentum(

@@ -35,13 +35,30 @@ def test_all_rows_of_a_symbol_at_one_time(obs):
     assert plain == chunked
 
 
-def test_cuts_bound_the_chunks(obs):
+@pytest.mark.parametrize("seconds", [60, 600, 86400])
+def test_cells_of_any_width(obs, seconds):
+    rng = random.Random(3)
+    rows = obs([("h", "HOT", m * m // 50, round(rng.uniform(1, 9), 2)) for m in range(400)])
+    plain = indicators.moving_averages(rows, (2, 30), rows_per_chunk=None)
+    cut = indicators.moving_averages(rows, (2, 30), rows_per_chunk=40, cell_seconds=seconds)
+    assert values(cut, *plain.columns) == values(plain, *plain.columns)
+
+
+def test_chunks_and_what_they_look_back_to(obs):
     rows = obs([("h", "HOT", m, 1.0) for m in range(1000)] + [("c", "COLD", 0, 1.0)])
-    cuts = frames.cut_points(rows, 100).collect()
-    assert [r["_symbol"] for r in cuts] == ["HOT"]
-    edges = [0, *[int((c["observed_at"].timestamp() - 1704067200) // 60) for c in cuts[0]["_cuts"]]]
-    widths = [b - a for a, b in zip(edges, [*edges[1:], 1000], strict=True)]
-    assert max(widths) < 300
+    cells = frames.chunk_cells(frames.row_counts(rows, 600), 100, 15).collect()
+    assert {r["_symbol"] for r in cells} == {"HOT"}
+    ordered = [r["_chunks"] for r in sorted(cells, key=lambda r: r["_cell"])]
+    assert [own for own, *_ in ordered] == [i // 10 for i in range(100)]
+    # Fifteen rows are two cells of ten, so only the last two of a chunk are looked at again.
+    assert [i % 10 for i, (_, *later) in enumerate(ordered) if later] == [8, 9] * 9
+    assert all(later in ([], [own + 1]) for own, *later in ordered)
+
+
+def test_sparse_cells_reach_several_chunks_back(obs):
+    rows = obs([("h", "HOT", 600 * m, float(m)) for m in range(30)])
+    plain, chunked = both(rows, 2)
+    assert plain == chunked
 
 
 @settings(
