@@ -93,8 +93,11 @@ def anomaly_feed(
     )
 
 
-def z_scores(df: DataFrame, digits: int | None = 3, c: Cols = OBS) -> DataFrame:
-    """Z-score of every row against the rows given, so filter the range first."""
-    return _scored(df, c).select(
+def z_scores(
+    df: DataFrame, digits: int | None = 3, c: Cols = OBS, summary: DataFrame | None = None
+) -> DataFrame:
+    """Z-score of every row against the rows given, so filter the range first, or against a
+    stored ``summary``."""
+    return _scored(df, c, summary).select(
         c.time, c.symbol, rounded(F.col("_z"), digits).alias("z_score")
     )

@@ -17,7 +17,9 @@ from pricetide.functions import (
     z_band,
 )
 from pricetide.operators import anomalies, history
+from pricetide.operators.moments import range_moments, summary_of
 from pricetide.schema import OBS, Cols
+from pricetide.session import stage
 
 DEFAULT_RANGE = timedelta(hours=6)
 
@@ -172,6 +174,27 @@ def z_score_series(
     return anomalies.z_scores(visible, digits, c).orderBy(c.time, c.symbol)
 
 
+def z_score_range(
+    history_rows: DataFrame,
+    cells: DataFrame,
+    start: datetime,
+    end: datetime,
+    symbols: Sequence[str] | None = None,
+    digits: int | None = 3,
+    c: Cols = OBS,
+) -> DataFrame:
+    """:func:`z_score_series` with statistics from stored moment cells.
+
+    The statistics read rows of the first and the last day only. The rows that come out are
+    scored as they are read: nothing passes over the range twice.
+    """
+    rows = with_symbols(history_rows, symbols, c)
+    moments = range_moments(with_symbols(cells, symbols, c), rows, start, end, c)
+    summary = stage(summary_of(moments, c), "key-stats")
+    visible = in_time_range(rows, start, end, c=c)
+    return anomalies.z_scores(visible, digits, c, summary).orderBy(c.time, c.symbol)
+
+
 def candle_series(
     history_rows: DataFrame,
     duration: str = "15 minutes",

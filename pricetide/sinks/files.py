@@ -14,6 +14,17 @@ def append_silver(df: DataFrame, path: str, date: str = "observed_date") -> None
     df.hint("rebalance", date).write.mode("append").partitionBy(date).parquet(path)
 
 
+def overwrite_dates(df: DataFrame, path: str, date: str = "observed_date") -> None:
+    """Replace the dates that ``df`` has rows of; other partitions stay as they are."""
+    (
+        df.hint("rebalance", date)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(date)
+        .parquet(path)
+    )
+
+
 def overwrite_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
