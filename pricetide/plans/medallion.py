@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricetide.operators.bronze import to_bronze
 from pricetide.operators.indicators import indicators
@@ -16,9 +17,19 @@ from pricetide.plans.kpis import all_kpis
 from pricetide.schema import BRONZE, CORRUPT, OBSERVATION
 from pricetide.session import observed_counts, sized_shuffles, stage
 from pricetide.sinks import append_silver, overwrite_parquet, write_report
-from pricetide.sources import read_table, read_table_or_none, stream_landing
+from pricetide.sources import read_landing, read_table, read_table_or_none, stream_landing
+from pricetide.sources.folders import (
+    OPEN_FOLDERS,
+    folder_names,
+    folder_of,
+    folders_to_read,
+    partition_values,
+    unread_files,
+)
 from pricetide.streaming import start_parquet
 
+# Bronze's partition by landing folder, where folders are dates of arrival.
+FOLDER = "landing_folder"
 PROGRESS_KEPT = "spark.sql.streaming.numRecentProgressUpdates"
 
 
@@ -94,6 +105,47 @@ def refresh_bronze(
     return {"rows": total - bad, "quarantined": bad}
 
 
+def refresh_bronze_by_folder(
+    spark: SparkSession,
+    layout: Layout,
+    open_folders: int = OPEN_FOLDERS,
+    on_corrupt: str = "quarantine",
+) -> dict[str, int]:
+    """:func:`refresh_bronze` for a landing folder with one folder for each arrival date.
+
+    The newest folder in bronze is the offset: only folders after it and the
+    ``open_folders`` up to it are listed, and only their part of bronze is compared with.
+    Nothing is remembered but bronze itself. A file's name and modification time do not
+    matter, nor how old its snapshots are; one that lands in a folder closed long ago is not
+    seen. A lake keeps to one of the two ways, as their bronze folders differ.
+    """
+    if on_corrupt not in ("quarantine", "fail"):
+        raise ValueError(f"on_corrupt must be 'quarantine' or 'fail', not {on_corrupt!r}")
+    ingested = partition_values(spark, layout.bronze, FOLDER)
+    folders = folders_to_read(folder_names(spark, layout.landing), ingested, open_folders)
+    if not folders:
+        return {"rows": 0, "quarantined": 0}
+    paths = [f"{layout.landing}/{name}" for name in folders]
+    landed = read_landing(spark, paths, "text", keep_corrupt=True)
+    if ingested:
+        stored = read_table(spark, layout.bronze, T.StructType([*BRONZE.fields, T.StructField(FOLDER, T.StringType())]))
+        landed = unread_files(landed, stored.filter(F.col(FOLDER).isin(folders)))
+    rows = to_bronze(landed).withColumns(
+        {
+            FOLDER: folder_of(),
+            "corrupt": F.col(CORRUPT).isNotNull().cast("int"),
+            "ingestion_date": F.to_date("ingestion_time"),
+        }
+    )
+    found = Observation("ingest")
+    counted = rows.observe(found, F.count(F.lit(1)).alias("all"), F.coalesce(F.sum("corrupt"), F.lit(0)).alias("bad"))
+    counted.write.mode("append").partitionBy(FOLDER, "corrupt", "ingestion_date").parquet(layout.bronze)
+    counts = observed_counts(found, "all", "bad")
+    if counts["bad"] and on_corrupt == "fail":
+        raise ValueError(f"{counts['bad']} landing file(s) are no JSON; see corrupt=1 in {layout.bronze}")
+    return {"rows": counts["all"] - counts["bad"], "quarantined": counts["bad"]}
+
+
 def read_bronze(spark: SparkSession, layout: Layout, corrupt: bool = False) -> DataFrame:
     """Ingested snapshots, or with ``corrupt`` the quarantined files; the partition of the
     other kind is not opened."""

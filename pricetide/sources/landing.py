@@ -33,6 +33,10 @@ def _landing_schema(data_as: str) -> T.StructType:
     return LANDING if data_as == "array" else LANDING_TEXT
 
 
+def _with_corrupt(schema: T.StructType, keep: bool) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]) if keep else schema
+
+
 def _with_source(df: DataFrame) -> DataFrame:
     # _metadata gives one URI form for batch and streaming reads alike.
     return df.select("*", F.col("_metadata.file_path").alias("source_file"))
@@ -43,14 +47,17 @@ def read_landing(
     path: str | list[str],
     data_as: str = "array",
     modified_after: str | None = None,
+    keep_corrupt: bool = False,
 ) -> DataFrame:
     """All snapshots below ``path`` with the URI of the file each came from.
 
     ``data_as="text"`` keeps ``data`` as JSON text. ``modified_after`` prunes the file
     listing, so an incremental batch does not parse files of earlier runs.
+    ``keep_corrupt`` adds the text of files that are no JSON documents.
     """
     reader = (
-        spark.read.schema(_landing_schema(data_as))
+        spark.read.schema(_with_corrupt(_landing_schema(data_as), keep_corrupt))
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
     )
@@ -82,11 +89,8 @@ def stream_landing(
     ``keep_corrupt`` adds the text of files that are no JSON documents, which otherwise
     come as rows of NULLs.
     """
-    schema = _landing_schema(data_as)
-    if keep_corrupt:
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     reader = (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(_with_corrupt(_landing_schema(data_as), keep_corrupt))
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
