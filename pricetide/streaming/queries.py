@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pricetide.functions import rounded, z_score
@@ -14,7 +15,18 @@ from pricetide.operators.bronze import to_bronze
 from pricetide.operators.history import candles
 from pricetide.schema import OBS, Cols
 from pricetide.sinks.serving import WriteTable, rename_columns
-from pricetide.sources import stream_landing
+from pricetide.sources import read_table_or_none, stream_landing
+
+ReplaceBatch = Callable[[DataFrame, str, int], None]
+
+# Micro-batches that a serving table has whole.
+DELIVERED = T.StructType(
+    [
+        T.StructField("query", T.StringType()),
+        T.StructField("table_name", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
 
 
 def start_parquet(
@@ -62,6 +74,44 @@ def start_serving(
     return start_batches(df, load, checkpoint)
 
 
+def start_serving_once(
+    df: DataFrame, table: str, replace: ReplaceBatch, ledger: str, query: str, checkpoint: str
+) -> StreamingQuery:
+    """As :func:`start_serving`, with each micro-batch delivered exactly once.
+
+    ``replace(batch, table, batch_id)`` puts the rows in the place of what an earlier attempt
+    at the same batch left. The ledger notes batches that are complete, by ``query`` and
+    number, so that one of them that comes again is not written at all.
+    """
+    return start_batches(df, once(table, replace, ledger, query), checkpoint)
+
+
+def once(table: str, replace: ReplaceBatch, ledger: str, query: str) -> Callable[[DataFrame, int], None]:
+    """The batch writer of :func:`start_serving_once`."""
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done = read_table_or_none(spark, ledger, DELIVERED)
+        mine = (F.col("query") == query) & (F.col("table_name") == table) & (F.col("batch_id") == batch_id)
+        if done is not None and not done.filter(mine).isEmpty():
+            return
+        replace(rename_columns(batch), table, batch_id)
+        row = spark.createDataFrame([(query, table, batch_id)], DELIVERED)
+        row.coalesce(1).write.mode("append").parquet(ledger)
+
+    return load
+
+
+def replace_parquet(folder: str) -> ReplaceBatch:
+    """A writer to Parquet tables below ``folder``, with a partition for each batch."""
+
+    def replace(df: DataFrame, table: str, batch_id: int) -> None:
+        # The partition is named by the path, so that an empty batch replaces as well.
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{table}/batch_id={batch_id}")
+
+    return replace
+
+
 def stream_bronze(
     spark: SparkSession, landing: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
