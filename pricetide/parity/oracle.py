@@ -481,3 +481,78 @@ bands AS (
           FROM scored WHERE ROUND(z, 6) > 2.0""",
     ),
 }
+
+# Queries that reach the rows of another one in another way.
+ORACLE |= {
+    "moving_averages_by_day": _MOVING_AVERAGES,
+    "gold_incremental": ORACLE["indicators"],
+    "zscore_range_index": ORACLE["zscore_in_range"],
+    "moments_merge": _with(
+        _EVENTS,
+        select=f"""SELECT symbol, {_volatility(6)}, MAX(price) AS max_price, MIN(price) AS min_price
+          FROM obs GROUP BY symbol""",
+    ),
+    "ohlc_from_cells": _with(
+        _EVENTS,
+        select=" UNION ALL ".join(
+            f"""SELECT time_bucket(INTERVAL '{seconds} seconds', observed_at, TIMESTAMP '1970-01-01') AS window_start,
+          symbol, MIN(price) AS low, MAX(price) AS high, ARG_MIN(price, observed_at) AS open,
+          ARG_MAX(price, observed_at) AS close, ROUND(AVG(volume_24h), 8) AS volume,
+          CAST({seconds} AS INTEGER) AS seconds FROM obs GROUP BY 1, 2"""
+            for seconds in (1800, 6 * 3600, 2 * 86400)
+        ),
+    ),
+    "range_from_cells": _with(
+        _EVENTS,
+        select="""SELECT symbol, ARG_MIN(price, observed_at) AS open, MAX(price) AS high, MIN(price) AS low,
+          ARG_MAX(price, observed_at) AS close, ROUND(AVG(price), 6) AS avg_price,
+          ROUND(MAX(price) - MIN(price), 6) AS spread,
+          ROUND((MAX(price) - MIN(price)) / NULLIF(AVG(price), 0) * 100.0, 6) AS price_range_pct,
+          ROUND(AVG(volume_24h), 6) AS volume FROM obs
+          WHERE observed_at BETWEEN TIMESTAMP '2024-01-04 07:22:31' AND TIMESTAMP '2024-01-17 19:51:03'
+          GROUP BY symbol""",
+    ),
+    "stream_bronze_offsets": ORACLE["stream_bronze"],
+    "stream_ohlc_late": ORACLE["ohlc_15m"],
+    "dedupe_bucketed": ORACLE["dedupe_observations"],
+    "gold_versions": ORACLE["volatility"],
+    "stream_serving_once": _with(
+        _EVENTS,
+        select="""SELECT observed_at AS ingestion_time, symbol, price AS price_usd,
+          volume_24h AS volume_usd_24hr, market_cap AS market_cap_usd FROM obs""",
+    ),
+    "stream_anomalies_online": _with(
+        _EVENTS,
+        """
+before AS (SELECT *, AVG(price) OVER w AS mean, STDDEV_SAMP(price) OVER w AS sd FROM obs
+  WINDOW w AS (PARTITION BY symbol ORDER BY observed_at, asset_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+scores AS (SELECT *, ROUND((price - mean) / NULLIF(sd, 0), 6) AS z_score FROM before)""",
+        select="SELECT observed_at, symbol, price, z_score, TRUE AS is_anomaly FROM scores WHERE z_score > 2.0",
+    ),
+    "silver_dates": _with(
+        _EVENTS,
+        select="""SELECT CAST(observed_at AS DATE) AS observed_date, symbol, COUNT(*) AS row_count
+          FROM obs GROUP BY 1, 2""",
+    ),
+    "quality_log": _with(
+        _FLAT,
+        select="""SELECT 'flat' AS layer, COUNT(*) AS total_records,
+          COUNT(*) FILTER (price <= 0) AS negative_price_count,
+          COUNT(*) = COUNT(*) FILTER (price > 0 AND symbol IS NOT NULL) AS passed FROM flat
+          UNION ALL SELECT 'gated', COUNT(*), COUNT(*) FILTER (price <= 0), TRUE FROM gated""",
+    ),
+    "csv_export": ORACLE["price_history"],
+    "content_columns": _with(_MARKET, select="SELECT symbol, name, ROUND(price, 6) AS price FROM latest"),
+    "serving_symbols": _with(
+        _MARKET,
+        select="""SELECT DISTINCT symbol, 'id,rank,symbol,name,price_usd,market_cap_usd,volume_usd_24hr,'
+          || 'change_percent_24hr,ingestion_time' AS columns FROM latest""",
+    ),
+    "load_results": _with(
+        _EVENTS,
+        select="""SELECT 'crypto_price_history' AS table_name, TRUE AS ok, COUNT(*) AS row_count FROM obs
+          UNION ALL SELECT 'crypto_price_changes', TRUE, COUNT(*) - COUNT(DISTINCT symbol) FROM obs
+          UNION ALL SELECT 'crypto_history_stats', TRUE, COUNT(DISTINCT symbol) FROM obs""",
+    ),
+}

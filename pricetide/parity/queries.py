@@ -4,31 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.functions import anomaly_label, as_ntz, epoch_ms_to_timestamp, safe_double, safe_int
 from pricetide.operators import anomalies, bronze, correlation, history, indicators
-from pricetide.operators import quality, silver, snapshot
-from pricetide.plans import dashboard, medallion
+from pricetide.operators import candle_cells, quality, silver, snapshot, stored_keys
+from pricetide.plans import dashboard, incremental, medallion
+from pricetide.schema import OBSERVATION
 from pricetide.session import configure, scratch_path, sized_shuffles, stage
-from pricetide.sinks import rename_columns
+from pricetide.sinks import (
+    append_silver,
+    export_csv,
+    load_tables,
+    rename_columns,
+    serving_preview,
+    versions,
+    write_report,
+)
 from pricetide.sources import (
     landing_files,
     normalize_payload,
     read_landing,
     read_payload,
+    read_table,
     standin,
 )
 from pricetide.streaming import (
     complete_candles,
+    once,
+    replace_parquet,
     start_parquet,
+    start_serving_once,
     stream_anomalies,
     stream_bronze,
     stream_candles,
     stream_dedupe,
 )
+from pricetide.streaming.online import stream_anomalies_online
+from pricetide.streaming.repair import start_repair
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +52,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 FINE = 8
 
 RANGE_START, RANGE_END = datetime(2024, 1, 10), datetime(2024, 1, 12, 12)
+# Bounds within a day, an hour and a quarter of an hour.
+RAGGED_START, RAGGED_END = datetime(2024, 1, 4, 7, 22, 31), datetime(2024, 1, 17, 19, 51, 3)
 SILVER_UNTIL = "2024-01-20 00:00:00"
 LATE_SYMBOL = "signup"
 BRONZE_UNTIL = "2024-01-15 00:00:00"
@@ -233,6 +251,11 @@ def moving_averages_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.moving_averages(rows, digits=FINE, rows_per_chunk=200)
 
 
+def moving_averages_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = standin.events(spark, sf_dir)
+    return indicators.moving_averages(rows, digits=FINE, rows_per_chunk=200, cell_seconds=86400)
+
+
 def moving_average_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.moving_averages(standin.events(spark, sf_dir), (30,), digits=FINE)
 
@@ -368,8 +391,9 @@ def price_ma_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_ma_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    averages = indicators.moving_averages(standin.events(spark, sf_dir), digits=FINE)
-    return dashboard.price_ma_series(averages, start=RANGE_START, end=RANGE_END)
+    averages = read_table(spark, gold_lake(spark, sf_dir).gold(incremental.INDICATORS))
+    shown = dashboard.price_ma_series(averages.drop("ma_30"), start=RANGE_START, end=RANGE_END)
+    return shown.withColumn("observed_at", as_ntz(F.col("observed_at")))
 
 
 def ohlc_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,6 +466,76 @@ def anomaly_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("label", anomaly_label(F.col("z_score") > 2.0))
 
 
+# Gold by date: silver comes in three loads, the last of them late rows of old dates
+
+
+def _load_silver(spark: SparkSession, sf_dir: str, refresh: Callable) -> medallion.Layout:
+    """A lake whose silver grew load by load, with ``refresh(spark, layout)`` after each."""
+    layout = medallion.Layout(scratch_path(configure(spark), "lake"))
+    rows = standin.event_silver(spark, sf_dir)
+    old = F.col("observed_at") < F.lit(SILVER_UNTIL).cast("timestamp")
+    start, end = (F.lit(t.isoformat(sep=" ")).cast("timestamp") for t in (RANGE_START, RANGE_END))
+    late = (F.col("symbol") == LATE_SYMBOL) & F.col("observed_at").between(start, end)
+    for load in (old & ~late, ~old, late):
+        append_silver(rows.filter(load), layout.silver)
+        refresh(spark, layout)
+    return layout
+
+
+_lakes: dict[tuple, medallion.Layout] = {}
+
+
+def gold_lake(spark: SparkSession, sf_dir: str) -> medallion.Layout:
+    """The grown lake with all its dated tables, made once per application and table set."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _lakes:
+
+        def refresh(spark: SparkSession, layout: medallion.Layout) -> None:
+            incremental.refresh_gold_by_date(spark, layout, digits=FINE)
+
+        _lakes[key] = _load_silver(spark, sf_dir, refresh)
+    return _lakes[key]
+
+
+def moments_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = _load_silver(spark, sf_dir, incremental.refresh_moments)
+    summary = stage(incremental.stored_summary(spark, layout), "key-stats")
+    stats = history.history_stats_of(summary, 6).drop("avg_price")
+    return history.volatility_of(summary, 6, 6).join(stats, "symbol")
+
+
+def gold_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def refresh(spark: SparkSession, layout: medallion.Layout) -> None:
+        incremental.refresh_moments(spark, layout)
+        incremental.refresh_indicators(spark, layout, digits=6)
+
+    table = read_table(spark, _load_silver(spark, sf_dir, refresh).gold(incremental.INDICATORS))
+    return table.drop("observed_date").withColumn("observed_at", as_ntz(F.col("observed_at")))
+
+
+def zscore_range_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = gold_lake(spark, sf_dir)
+    rows = read_table(spark, layout.gold(incremental.HISTORY))
+    cells = read_table(spark, layout.gold(incremental.MOMENTS))
+    scores = dashboard.z_score_range(rows, cells, RANGE_START, RANGE_END, digits=6)
+    return scores.withColumn("observed_at", as_ntz(F.col("observed_at")))
+
+
+def ohlc_from_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = incremental.candle_levels(spark, gold_lake(spark, sf_dir))
+    widths = [1800, 6 * 3600, 2 * 86400]
+    found = [candle_cells.candles_from_cells(levels, w, FINE).withColumn("seconds", F.lit(w)) for w in widths]
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.withColumn("window_start", as_ntz(F.col("window_start")))
+
+
+def range_from_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = gold_lake(spark, sf_dir)
+    rows = read_table(spark, layout.gold(incremental.HISTORY))
+    levels = incremental.candle_levels(spark, layout)
+    return candle_cells.range_candles(levels, rows, RAGGED_START, RAGGED_END, 6)
+
+
 # Streams: each runs to the end of its input and returns the table it wrote
 
 
@@ -513,6 +607,124 @@ def bronze_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed_bronze(spark, sf_dir, True).select(number.alias("snapshot"))
 
 
+def stream_bronze_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = medallion.Layout(scratch_path(configure(spark), "folder-lake"))
+    for later in (False, True):
+        standin.land_until(spark, sf_dir, layout.landing, BRONZE_UNTIL, later)
+        medallion.refresh_bronze_by_folder(spark, layout)
+    rows = silver.parse_assets(medallion.read_bronze(spark, layout))
+    return rows.select(
+        "timestamp",
+        as_ntz(F.col("ingestion_time")).alias("ingestion_time"),
+        F.size("data").cast("long").alias("n_assets"),
+    )
+
+
+def _late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` in two micro-batches; the second has rows far behind the first's newest."""
+    folder = scratch_path(configure(spark), "late-events")
+    rows = standin.event_silver(spark, sf_dir)
+    late = F.col("symbol") == LATE_SYMBOL
+    for load in (~late, late):
+        rows.filter(load).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def stream_ohlc_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(configure(spark), "repaired")
+    start_repair(_late_stream(spark, sf_dir), f"{folder}/cells", f"{folder}/checkpoint").awaitTermination()
+    cells = read_table(spark, f"{folder}/cells")
+    return cells.select(as_ntz(F.col("start")).alias("window_start"), "symbol", "low", "high", "open", "close")
+
+
+def stream_anomalies_online_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = stream_anomalies_online(_event_stream(spark, sf_dir), digits=6)
+    rows = _drain(flagged, f"{sf_dir}/events.parquet")
+    return rows.withColumn("observed_at", as_ntz(F.col("observed_at")))
+
+
+def stream_serving_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(configure(spark), "served")
+    rows = history.price_history(_event_stream(spark, sf_dir))
+    ledger, replace = f"{folder}/ledger", replace_parquet(f"{folder}/tables")
+    start_serving_once(rows, "price_history", replace, ledger, "history", f"{folder}/checkpoint").awaitTermination()
+    # The first batch comes again, as after a failure; nothing of it is written twice.
+    first = read_table(spark, f"{folder}/tables/price_history/batch_id=0")
+    once("price_history", replace, ledger, "history")(first, 0)
+    served = read_table(spark, f"{folder}/tables/price_history").drop("batch_id")
+    return served.withColumn("ingestion_time", as_ntz(F.col("ingestion_time")))
+
+
+def dedupe_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(configure(spark), "bucketed")
+    name = f"stored_keys_{folder.rsplit('-', 1)[-1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gated = silver.quality_gate(_flat(spark, sf_dir))
+    cut = F.col("observed_at") < F.lit(BRONZE_UNTIL).cast("timestamp")
+    # The whole first load comes again with the second.
+    for load in (gated.filter(cut), gated):
+        keys = stored_keys.open_keys(spark, name, f"{folder}/keys", buckets)
+        new = stage(stored_keys.not_in_keys(load, keys), "new-rows")
+        append_silver(new, f"{folder}/silver")
+        stored_keys.add_keys(new, name, f"{folder}/keys", buckets)
+    return _observation_columns(read_table(spark, f"{folder}/silver", OBSERVATION))
+
+
+def gold_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_path(configure(spark), 'versions')}/volatility"
+    rows = standin.events(spark, sf_dir)
+    old = rows.filter(F.col("observed_at") < F.lit(SILVER_UNTIL).cast("timestamp_ntz"))
+    for load in (old, rows):
+        versions.write_version(history.volatility(load, raw_digits=6, pct_digits=6), path)
+    return versions.read_version(spark, path)
+
+
+# Sinks, written and read back
+
+
+def silver_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_path(configure(spark), 'silver')}/silver"
+    append_silver(standin.event_silver(spark, sf_dir), path)
+    rows = read_table(spark, path, OBSERVATION)
+    return rows.groupBy("observed_date", "symbol").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def quality_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_path(configure(spark), 'reports')}/quality"
+    for layer, rows in (("flat", _flat(spark, sf_dir)), ("gated", silver.quality_gate(_flat(spark, sf_dir)))):
+        write_report(quality.quality_report(rows, layer), path)
+    return spark.read.json(path).select("layer", "total_records", "negative_price_count", "passed")
+
+
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_path(configure(spark), 'export')}/history"
+    export_csv(history.price_history(standin.events(spark, sf_dir)), path)
+    schema = "observed_at timestamp_ntz, symbol string, price double, volume_24h double, market_cap double"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def content_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.content_sample(snapshot.top_assets(_market(spark, sf_dir)), n=1 << 20)
+    return rows.withColumn("price", F.round("price", 6))
+
+
+def serving_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, symbols = serving_preview(snapshot.top_assets(_market(spark, sf_dir)))
+    return symbols.withColumn("columns", F.lit(",".join(names)))
+
+
+def load_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(configure(spark), "serving")
+    rows = standin.events(spark, sf_dir)
+    tables = {
+        "price_history": history.price_history(rows),
+        "price_changes": indicators.price_changes(rows),
+        "history_stats": history.history_stats(rows),
+    }
+    result = load_tables(spark, tables, lambda df, name: df.write.parquet(f"{folder}/{name}"))
+    return result.select("table_name", "ok", "row_count")
+
+
 def stream_anomalies_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stage(anomalies.price_stats(standin.events(spark, sf_dir)), "key-stats")
     flagged = stream_anomalies(_event_stream(spark, sf_dir), stats, digits=6)
@@ -542,6 +754,7 @@ QUERIES: dict[str, Query] = {
     "price_changes": price_changes,
     "moving_averages": moving_averages,
     "moving_averages_chunked": moving_averages_chunked,
+    "moving_averages_by_day": moving_averages_by_day,
     "moving_average_30": moving_average_30,
     "momentum_rsi": momentum_rsi,
     "momentum_rsi_chunked": momentum_rsi_chunked,
@@ -583,6 +796,23 @@ QUERIES: dict[str, Query] = {
     "risk_bands": risk_bands,
     "move_bands": move_bands,
     "anomaly_label": anomaly_labels,
+    "moments_merge": moments_merge,
+    "gold_incremental": gold_incremental,
+    "zscore_range_index": zscore_range_index,
+    "ohlc_from_cells": ohlc_from_cells,
+    "range_from_cells": range_from_cells,
+    "gold_versions": gold_versions,
+    "dedupe_bucketed": dedupe_bucketed,
+    "silver_dates": silver_dates,
+    "quality_log": quality_log,
+    "csv_export": csv_export,
+    "content_columns": content_columns,
+    "serving_symbols": serving_symbols,
+    "load_results": load_results,
+    "stream_bronze_offsets": stream_bronze_offsets,
+    "stream_ohlc_late": stream_ohlc_late,
+    "stream_anomalies_online": stream_anomalies_online_query,
+    "stream_serving_once": stream_serving_once,
     "stream_bronze": stream_bronze_query,
     "stream_dedupe": stream_dedupe_query,
     "stream_ohlc": stream_ohlc,

@@ -1,6 +1,7 @@
 from pricetide.sinks.files import (  # noqa: F401
     append_silver,
     export_csv,
+    overwrite_dates,
     overwrite_parquet,
     write_report,
 )

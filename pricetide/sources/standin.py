@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricetide.schema import OBSERVATION
 from pricetide.session import configure, scratch_path
 
 EVENTS_PER_SNAPSHOT = 10
@@ -38,6 +39,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_observations(table(spark, sf_dir, "events"))
 
 
+def event_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as rows of the silver table."""
+    rows = events(spark, sf_dir).withColumns(
+        {
+            "observed_at": F.col("observed_at").cast("timestamp"),
+            "observed_date": F.to_date("observed_at"),
+        }
+    )
+    absent = {f.name: F.lit(None).cast(f.dataType) for f in OBSERVATION if f.name not in rows.columns}
+    return rows.withColumns(absent).select(*OBSERVATION.fieldNames())
+
+
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly observations per brand; sums of whole cents make them exact."""
 
@@ -142,14 +155,14 @@ def payload_snapshots(events: DataFrame) -> DataFrame:
     )
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
+def write_documents(docs: DataFrame, path: str, mode: str = "error") -> None:
     """Write ``(batch, doc)`` rows as JSON files, one array of documents per batch."""
     files = docs.groupBy("batch").agg(
         F.concat(
             F.lit("["), F.array_join(F.sort_array(F.collect_list("doc")), ",\n"), F.lit("]")
         ).alias("value")
     )
-    files.write.partitionBy("batch").text(path)
+    files.write.mode(mode).partitionBy("batch").text(path)
 
 
 def _batched(snapshots: DataFrame, doc: Column) -> DataFrame:
@@ -172,6 +185,15 @@ def land_events(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def land_until(spark: SparkSession, sf_dir: str, path: str, cut: str, later: bool) -> None:
+    """Add the snapshots before ``cut``, or the ``later`` ones, to the landing folders at
+    ``path``, one for each batch. The folder of the cut gets files of both."""
+    snapshots = event_snapshots(table(spark, sf_dir, "events"))
+    before = F.timestamp_millis("timestamp") < F.lit(cut).cast("timestamp")
+    doc = F.to_json(F.struct("timestamp", F.transform("events", _asset).alias("data")))
+    write_documents(_batched(snapshots.filter(~before if later else before), doc), path, "append")
+
+
 def land_mixed(spark: SparkSession, sf_dir: str) -> str:
     """Write ``events`` as a lake's landing folder of mixed documents; returns the lake.
 
