@@ -51,10 +51,15 @@ def not_in_keys(batch: DataFrame, keys: DataFrame, c: Cols = OBS) -> DataFrame:
     stored = keys.select(
         F.col(KEY).alias("_hash"), F.col(c.asset_id).alias("_id"), F.col(c.time).alias("_time")
     )
+
+    def alike(a: Column, b: Column) -> Column:
+        # Spark must not take it for a join key: the table is bucketed by the hash alone.
+        return F.coalesce(a == b, a.isNull() & b.isNull())
+
     same = (
         (F.col(KEY) == F.col("_hash"))
-        & F.col(c.asset_id).eqNullSafe(F.col("_id"))
-        & F.col(c.time).eqNullSafe(F.col("_time"))
+        & alike(F.col(c.asset_id), F.col("_id"))
+        & alike(F.col(c.time), F.col("_time"))
     )
     # A merge join uses the buckets as they are; a broadcast would send the stored side.
     return unique.join(stored.hint("merge"), same, "left_anti").drop(KEY)
