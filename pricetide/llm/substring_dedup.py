@@ -38,7 +38,7 @@ SLICE_BYTES = 2 << 20
 FILTER_BITS = 1 << 27
 BITS_PER_KEY = 16
 # Different pieces of one anchor that one task indexes in one tree.
-GROUP_PIECES = 4096
+GROUP_PIECES = 512
 
 PARTS = np.zeros(256, bool)
 PARTS[[9, 10, 11, 12, 13, 32]] = True
@@ -172,21 +172,52 @@ def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-OCCURRENCE = "key long, high long, low long, doc long, version long, start long, n long, words binary"
+NUMBERS = "key long, high long, low long, doc long, version long, start long, n long"
+
+
+def _rows(pieces: Pieces, at: np.ndarray, batch: pa.RecordBatch, with_words: bool) -> pa.RecordBatch:
+    """The pieces with the numbers ``at``; the batch begins with ``doc`` and ``version``."""
+    words = [pieces.words(i) for i in at]
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">i8").reshape(-1, 2)
+    doc = pieces.doc[at]
+    out = [pieces.key[at], *both.astype(np.int64).T]
+    out += [batch.column(c).to_numpy(zero_copy_only=False)[doc] for c in (0, 1)]
+    out += [pieces.first[at] - pieces.bounds[doc], pieces.last[at] - pieces.first[at] + 1]
+    columns, names = [pa.array(x, pa.int64()) for x in out], [c.split()[0] for c in NUMBERS.split(", ")]
+    if with_words:
+        columns.append(pa.array(words, pa.binary()))
+        names.append("words")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _in_bitmap(bitmap: np.ndarray, bits: int, codes: np.ndarray) -> np.ndarray:
+    bit = codes.view(np.uint64) & np.uint64(bits - 1)
+    return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _in_lists(pieces: Pieces, values: np.ndarray, lists: list[list[int]]) -> np.ndarray:
+    """Which of the pieces' values are in their document's list."""
+    cuts = np.searchsorted(pieces.doc, np.arange(len(lists) + 1))
+    found = [np.isin(values[a:b], own) for a, b, own in zip(cuts[:-1], cuts[1:], lists, strict=True)]
+    return np.concatenate(found) if found else np.empty(0, bool)
+
+
+def _bits_for(keys: DataFrame) -> int:
+    return max(BITMAP_BITS, 1 << (keys.count() * BITS_PER_KEY).bit_length())
 
 
 def repeated_pieces(docs: DataFrame, window: int, most_bits: int = FILTER_BITS) -> DataFrame:
     """Pieces whose anchor occurs twice or more, one row for each place they occur at.
 
-    ``high`` and ``low`` are a hash of the piece's ``words``, ``start`` is the number of
-    words before it, and ``n`` that of its windows. A filter of the anchors lets a few others pass as well.
+    ``high`` and ``low`` are a hash of the piece's words, ``start`` is the number of words
+    before it, and ``n`` that of its windows. A filter of the anchors lets a few others pass
+    as well.
     """
     repeated = stage(
         anchor_counts(docs, window).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"),
         "repeated-anchors",
     )
-    n = repeated.count()
-    bits = max(BITMAP_BITS, 1 << (n * BITS_PER_KEY).bit_length())
+    bits = _bits_for(repeated)
     if bits <= most_bits:
         found = docs.select("doc", "version", "text")
         passing = found.sparkSession.sparkContext.broadcast(key_filter(repeated, bits))
@@ -199,24 +230,43 @@ def repeated_pieces(docs: DataFrame, window: int, most_bits: int = FILTER_BITS)
         for batch in text_slices(batches, 2):
             pieces = Pieces(utf8(batch.column(2)), window)
             if bitmap is not None:
-                bit = pieces.key.view(np.uint64) & np.uint64(bits - 1)
-                good = (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                good = _in_bitmap(bitmap, bits, pieces.key)
+            else:
+                good = _in_lists(pieces, pieces.key, batch.column(3).to_pylist())
+            yield _rows(pieces, np.flatnonzero(good), batch, False)
+
+    return found.mapInArrow(run, NUMBERS)
+
+
+# Bits of a piece's place for a filter: the version is a hash, and the product fits 64 bits.
+SPREAD = 2654435761
+
+
+def pieces_with_words(docs: DataFrame, places: DataFrame, window: int, most_bits: int = FILTER_BITS) -> DataFrame:
+    """The pieces at the ``places`` (``doc``, ``version``, ``start``), with their words, read
+    from the texts once more. A filter lets a few others pass as well."""
+    bits = _bits_for(places)
+    if bits <= most_bits:
+        found = docs.select("doc", "version", "text")
+        code = F.col("version").bitwiseXOR(F.col("doc")).bitwiseXOR(F.col("start") * F.lit(SPREAD))
+        passing = found.sparkSession.sparkContext.broadcast(key_filter(places.select(code.alias("key")), bits))
+    else:
+        starts = places.groupBy("doc", "version").agg(F.collect_set("start").alias("starts"))
+        found, passing = docs.join(starts, ["doc", "version"]).select("doc", "version", "text", "starts"), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = None if passing is None else passing.value
+        for batch in text_slices(batches, 2):
+            pieces = Pieces(utf8(batch.column(2)), window)
+            start = pieces.first - pieces.bounds[pieces.doc]
+            if bitmap is not None:
+                doc, version = (batch.column(c).to_numpy(zero_copy_only=False)[pieces.doc] for c in (0, 1))
+                good = _in_bitmap(bitmap, bits, (version ^ doc) ^ (start * SPREAD))
             else:
-                own = [np.array(keys, np.int64) for keys in batch.column(3).to_pylist()]
-                cuts = np.searchsorted(pieces.doc, np.arange(len(own) + 1))
-                parts = [np.isin(pieces.key[a:b], k) for a, b, k in zip(cuts, cuts[1:], own, strict=True)]
-                good = np.concatenate(parts)
-            at = np.flatnonzero(good)
-            words = [pieces.words(i) for i in at]
-            both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">i8").reshape(-1, 2)
-            doc = pieces.doc[at]
-            out = [pieces.key[at], *both.astype(np.int64).T]
-            out += [batch.column(c).to_numpy(zero_copy_only=False)[doc] for c in (0, 1)]
-            out += [pieces.first[at] - pieces.bounds[doc], pieces.last[at] - pieces.first[at] + 1]
-            columns = [pa.array(x, pa.int64()) for x in out] + [pa.array(words, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in OCCURRENCE.split(", ")])
-
-    return found.mapInArrow(run, OCCURRENCE)
+                good = _in_lists(pieces, start, batch.column(3).to_pylist())
+            yield _rows(pieces, np.flatnonzero(good), batch, True)
+
+    return found.mapInArrow(run, f"{NUMBERS}, words binary")
 
 
 def _keys_by_document(docs: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
@@ -388,21 +438,22 @@ def repeated_spans(
     """
     pieces = stage(repeated_pieces(docs, window, most_bits), "pieces")
     # Copies of a piece collapse before the shuffle; only the first one can stay.
-    classes = pieces.groupBy("key", "high", "low").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
+    classes = pieces.groupBy("key", "high", "low").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("found"))
     classes = stage(classes, "piece-classes")
     # Groups with different pieces: their windows may agree in part.
     groups = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n_pieces")).filter("n_pieces > 1")
-    groups = stage(groups, "anchor-groups")
-    mixed_classes = classes.join(groups, "key").select("high", "low", "first.*", "n_pieces")
-    first = pieces.join(mixed_classes, ["high", "low", "doc", "version", "start"])
+    mixed_classes = classes.join(stage(groups, "anchor-groups"), "key").select("high", "low", "first.*", "n_pieces")
+    mixed_classes = stage(mixed_classes, "mixed-classes")
+    read = pieces_with_words(docs, mixed_classes.select("doc", "version", "start"), window, most_bits)
+    first = read.join(mixed_classes, ["high", "low", "doc", "version", "start"])
     # Repeated rows of one document have the same place.
     first = stage(first.dropDuplicates(["high", "low"]), "first-pieces")
     marks = _grouped_marks(first.filter(F.col("n_pieces") <= group_pieces), window)
-    if not groups.filter(F.col("n_pieces") > group_pieces).isEmpty():
+    if not first.filter(F.col("n_pieces") > group_pieces).isEmpty():
         marks = marks.unionByName(_split_marks(first.filter(F.col("n_pieces") > group_pieces), window))
     verdicts = classes.join(stage(marks, "marks"), ["high", "low"], "left")
-    verdicts = verdicts.filter("marks IS NOT NULL OR last > first").select("high", "low", "first", "marks")
-    found = pieces.drop("words").join(stage(verdicts, "verdicts"), ["high", "low"])
+    verdicts = verdicts.filter("marks IS NOT NULL OR found > 1").select("high", "low", "first", "marks")
+    found = pieces.drop("key").join(stage(verdicts, "verdicts"), ["high", "low"])
     is_first = _place() == F.col("first")
     found = found.filter(~is_first | F.col("marks").isNotNull())
     return found.select("doc", "version", "start", "n", F.when(is_first, F.col("marks")).alias("marks"))
