@@ -108,13 +108,13 @@ def document_frequencies(bags: DataFrame, n_terms: int) -> dict[int, int]:
     return {r["term"]: r["df"] for r in found.groupBy("term").agg(F.sum("df").alias("df")).collect()}
 
 
-def first_rows(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
+def first_rows(df: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key.
 
     They are found in parts of a key first, so that no task gets all tasks' rows of one.
     """
     out = df.withColumn("part", F.spark_partition_id() % MERGE_PARTS)
-    for keys in ([key, "part"], [key]):
+    for keys in ([*key, "part"], key):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         out = out.withColumn("place", place).filter(F.col("place") <= n)
     return out.drop("part", "place")
@@ -191,12 +191,15 @@ def search_block(docs: DataFrame, block: DataFrame, k: int) -> DataFrame:
 
     scored = class_scores(classes, weights, len(numbers), k)
     order = [F.desc("score"), F.asc("first"), F.asc("class")]
-    winners = stage(first_rows(scored, "item", order, k), "best-classes")
+    winners = stage(first_rows(scored, ["item"], order, k), "best-classes")
     # At most k classes for each item can give it documents.
     wanted = classes.join(winners.select("class").distinct(), "class").select("class", "hash", "m", "bag")
     wanted = stage(wanted, "wanted-classes")
-    members = of_documents.join(wanted, ["hash", "m", "bag"]).select("class", "doc")
-    members = stage(first_rows(members, "class", [F.asc("doc")], k), "members")
+    # No more hashes than k for each item of a block, so they may be sent to all executors.
+    # Members are cut to k of a class before classes are told apart, so none is a hot key.
+    near = of_documents.join(F.broadcast(wanted.select("hash").distinct()), "hash", "left_semi")
+    members = first_rows(near, ["hash", "m", "bag"], [F.asc("doc")], k).join(wanted, ["hash", "m", "bag"])
+    members = stage(members.select("class", "doc"), "members")
     listed = winners.join(members, "class")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc("doc")))
     ranked = listed.withColumn("rank", rank).filter(F.col("rank") <= k)
