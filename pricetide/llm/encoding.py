@@ -108,18 +108,39 @@ class ChunkEncoder:
                 mergeable_ranks=token_bytes(config),
                 special_tokens={},
             )
+            if not self.spaced:
+                tail = END_OF_WORD.encode()
+                self.ends = np.zeros(len(config["model"]["vocab"]), bool)
+                self.ends[[i for t, i in token_bytes(config).items() if t.endswith(tail)]] = True
 
     def whole(self, text: str) -> np.ndarray:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, UINT32)
 
     def chunk(self, chunk: str) -> bytes:
-        if self.spaced:
-            ids = self.bpe.encode_ordinary(chunk)
-        else:
-            words = WORD_PIECES.findall(chunk.lower())
-            ids = self.bpe.encode_ordinary("".join([w + END_OF_WORD for w in words]))
-        return array("I", ids).tobytes()
+        return array("I", self.bpe.encode_ordinary(chunk)).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of new words, encoded at once and told apart by the tokens that
+        end one."""
+        if len(self.known) + len(words) > self.max_chunks:
+            self.known.clear()
+        ids = np.array(self.bpe.encode_ordinary(END_OF_WORD.join(words) + END_OF_WORD), UINT32)
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        raw = ids.tobytes()
+        for word, a, b in zip(words, [0, *stops], stops, strict=False):
+            self.known[word] = raw[a:b]
+
+    def words(self, text: str) -> np.ndarray:
+        """The ids of a text whose words are encoded one by one."""
+        words = WORD_PIECES.findall(text.lower())
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = [at for at, ids in enumerate(found) if ids is None]
+            self.learn(list({words[at] for at in new}))
+            for at in new:
+                found[at] = self.known[words[at]]
+        return np.frombuffer(b"".join(found), UINT32)
 
     def encode(self, text: str) -> np.ndarray:
         if (
@@ -128,7 +149,9 @@ class ChunkEncoder:
             or ("<|" in text and any(s in text for s in self.special))
         ):
             return self.whole(text)
-        chunks = cut(text) if self.spaced else text.split()
+        if not self.spaced:
+            return self.words(text)
+        chunks = cut(text)
         known = self.known
         new = set(chunks).difference(known)
         if new:
@@ -137,7 +160,7 @@ class ChunkEncoder:
                 new = set(chunks)
             for chunk in new:
                 known[chunk] = self.chunk(chunk)
-        return np.frombuffer(b"".join([known[c] for c in chunks]), UINT32)
+        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), UINT32)
 
 
 def cut(text: str) -> list[str]:

@@ -23,6 +23,9 @@ from pricetide.session import scratch_path
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 1024
+WIDTHS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
+# How the widest of so many ids comes from two stretches of half as many or more.
+HALVES = tuple((n, max(k for k in (1, *COUNTS.tolist()) if n / 2 <= k < n)) for n in sorted({*COUNTS.tolist()} - {1}))
 PAYLOAD = np.uint64((1 << 60) - 1)
 
 FILE_SCHEMA = (
@@ -33,6 +36,18 @@ FILE_SCHEMA = (
 ROW_IDS = 1 << 17
 
 
+def bit_width(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, by a table for those of up to 16."""
+    if len(ids) and ids.max() < len(WIDTHS):
+        return WIDTHS[ids.astype(np.int64)]
+    bits = np.zeros(len(ids), np.uint8)
+    rest = ids.copy()
+    while rest.any():
+        bits[rest > 0] += 1
+        rest >>= np.uint64(1)
+    return bits
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, the place of each block's first word, and the escaped ids."""
     ids = np.asarray(ids, np.uint64)
@@ -41,15 +56,19 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint64)
     at = np.arange(n)
     left = np.minimum(BLOCK - at % BLOCK, n - at)  # ids to the end of the block
-    selector = np.zeros(n, np.int8)
-    at32 = at.astype(np.int32)
+    # The widest of so many ids from each on. Blocks are rows, with nothing behind their end.
+    rows = -(-n // BLOCK)
+    width = np.zeros(rows * BLOCK, np.uint8)
+    width[:n] = bit_width(ids)
+    widest = {1: np.pad(width.reshape(rows, BLOCK), ((0, 0), (0, int(COUNTS.max()))))}
+    for count, half in HALVES:
+        part, moved = widest[half], widest[half][:, count - half :]
+        widest[count] = part.copy()
+        np.maximum(part[:, : moved.shape[1]], moved, out=widest[count][:, : moved.shape[1]])
+    selector = np.zeros((rows, BLOCK), np.int8)
     for s in range(15, 0, -1):
-        narrow = ids < np.uint64(1 << int(BITS[s]))
-        # So many narrow ids in a row have one whose place is a multiple of their number.
-        if not narrow[:: COUNTS[s]].any():
-            continue
-        following = np.minimum.accumulate(np.where(narrow, np.int32(n), at32)[::-1])[::-1]
-        selector[following - at32 >= np.minimum(COUNTS[s], left)] = s
+        selector[widest[int(COUNTS[s])][:, :BLOCK] <= BITS[s]] = s
+    selector = selector.ravel()[:n]
     steps = np.minimum(COUNTS[selector], left).tolist()
     starts, i = [], 0
     while i < n:
