@@ -1,7 +1,6 @@
 """Main text of web pages, by removal of what a site repeats.
 
-Pages are read into element trees. Every subtree outside the main content has a hash, and
-Spark counts the hashes by host; subtrees that recur across many pages of their host are
+Pages are read into element trees. Every block subtree has a hash, and Spark counts the hashes by host; subtrees that recur across many pages of their host are
 its template and go. What markup itself declares not to be content goes as well.
 """
 
@@ -28,18 +27,25 @@ MIN_PAGES = 3
 MANY_PAGES = 50
 MIN_SHARE = 0.02
 MIN_SHARE_OF_TEXT = 0.5
-
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|"
-    r"<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL,
+# Recurring subtrees of all hosts that are broadcast, some 60 MB in a worker.
+MOST_TEMPLATES = 500_000
+MASK = (1 << 64) - 1
+
+MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+# A tag as it should be, without a second try of any part of it.
+TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?>\s++[^\s\"'<>/=]++(?>\s*+=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s\"'<>=`]++))?+)*+)\s*+(/?)>"
 )
-NAMES = re.compile(r"(?<![-\w])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?<![-\w])(hidden(?![-\w])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+# A stretch of a tag up to an attribute's value and that value: only there do quotes count.
+STRETCH = re.compile(r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"?|'[^']*+'?|[^\s>]*+))?+")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?+")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe svg math template".split())
+RAW = frozenset("script style textarea title noscript iframe svg template".split())
 # Elements that are never part of an article.
+RAW_END = {tag: re.compile(rf"</{tag}[\s/>]|\Z", re.I) for tag in RAW}
 DROPPED = RAW | frozenset(
     "head nav footer aside form button select option input label fieldset dialog menu "
     "object embed canvas video audio map datalist progress meter".split()
@@ -55,7 +61,9 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre".split())
 # Single cells and items, which go only with what they are part of.
 SINGLE = frozenset("li dt dd td th".split())
 NEVER_TEMPLATE = CONTENT | {"html", "body", "br", "hr"}
-# Words of class, id and role that name what surrounds an article.
+# Words of class, id and role that name what surrounds an article. Outside the main content
+# one of them is enough. Inside, a name must consist of them and of what goes with them,
+# and the weak ones leave it to the host's counts.
 AROUND = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
@@ -64,57 +72,115 @@ AROUND = frozenset(
     "related recommended recommendations widget widgets pagination pager skip search "
     "complementary contentinfo dialog toc copyright legal disclaimer tags byline".split()
 )
+WEAK = frozenset("legal disclaimer copyright tags byline toc search skip dialog".split())
+GOES_WITH = frozenset(
+    "list box container wrapper wrap section item items block area slot unit top bottom left right "
+    "inner outer bar link links panel button buttons reader user post posts article page site story "
+    "content main text body group row col form thread feed inline mobile desktop sticky fixed js".split()
+)
+# Articles that are not the page's own.
+OTHER_ARTICLES = frozenset("teaser card preview thumbnail".split())
+PLACES = re.compile("^(?:top|main|site|page|left|right|side|sub|global|primary|secondary)(?=[a-z]{3})")
 WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
+def name_words(name: str) -> list[str]:
+    """The words of one name, without a place in front that is written with it."""
+    words = (w.lower() for w in WORD_PARTS.findall(name))
+    return [rest if (rest := PLACES.sub("", w)) in AROUND else w for w in words]
+
+
 class Element:
     __slots__ = ("tag", "names", "hidden", "parts", "digest")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag = tag
-        self.names = " ".join(
-            (a or b or c).lower() if kind.lower() == "role" else (a or b or c)
-            for kind, a, b, c in NAMES.findall(attrs)
-        ) if attrs else ""
-        self.hidden = bool(attrs and HIDDEN.search(attrs))
+        self.hidden = False
+        names = []
+        for kind, a, b, c in ATTRIBUTE.findall(attrs) if attrs else ():
+            kind, value = kind.lower(), a or b or c
+            if kind in ("class", "id"):
+                names.append(value)
+            elif kind == "role":
+                names.append(value.lower())
+            elif kind == "hidden" or (kind == "aria-hidden" and value.lower() == "true"):
+                self.hidden = True
+            elif kind == "style" and NO_DISPLAY.search(value):
+                self.hidden = True
+        self.names = " ".join(names)
         self.parts: list[Element | str] = []
         self.digest = 0
 
-    def around(self) -> bool:
-        """Whether the markup says that this is not content."""
-        if self.tag in DROPPED or self.hidden:
+    def around(self, inside: bool) -> bool:
+        """Whether the markup says that this is not content; ``inside`` the main content it
+        says so less easily."""
+        if self.tag in DROPPED or self.hidden or (self.tag == "header" and not inside):
             return True
-        if self.tag in ("html", "body", "article", "main") or not self.names:
+        if self.tag in ("html", "body", "main") or not self.names:
             return False
-        return not AROUND.isdisjoint(w.lower() for w in WORD_PARTS.findall(self.names))
+        article = self.tag == "article"
+        for name in self.names.split():
+            words = name_words(name)
+            found = AROUND.intersection(words)
+            if article and not OTHER_ARTICLES.isdisjoint(words):
+                return True
+            if found and not (inside or article):
+                return True
+            if found - WEAK and all(w in AROUND or w in GOES_WITH or w.isdigit() for w in words):
+                return True
+        return False
+
+    def suspect(self) -> bool:
+        """Whether its names hint that this is not content."""
+        return any(not AROUND.isdisjoint(name_words(name)) for name in self.names.split())
 
 
 def parse(page: str) -> Element:
-    """The element tree of a page; never fails, whatever the markup."""
+    """The element tree of a page, in one pass; never fails, whatever the markup.
+
+    A tag or comment that the page does not end goes up to its end, as in browsers.
+    """
     root = Element("html")
     stack, at = [root], 0
     while at < len(page):
-        found = TOKEN.search(page, at)
+        found = MARKUP.search(page, at)
         text = page[at : found.start() if found else len(page)]
         if text:
             stack[-1].parts.append(text)
         if not found:
             break
-        at = found.end()
-        tag = (found["tag"] or "").lower()
-        if not tag:
+        start = found.start()
+        if page[start + 1] in "!?":
+            mark = "-->" if found[0] == "<!--" else ">"
+            end = page.find(mark, found.end())
+            at = len(page) if end < 0 else end + len(mark)
             continue
-        if found["close"]:
+        whole = TAG.match(page, start)
+        if whole:
+            close, tag, attrs, empty = whole.groups()
+            at = whole.end()
+        else:
+            close, tag = NAME.match(page, start).groups()
+            first = at = start + 1 + len(close) + len(tag)
+            while at < len(page) and page[at] != ">":
+                at = STRETCH.match(page, at).end()
+            if at == len(page):
+                break
+            attrs = page[first:at]
+            empty = attrs.endswith("/")
+            at += 1
+        tag = tag.lower()
+        if close:
             _close(stack, tag)
             continue
         _open(stack, tag)
-        element = Element(tag, found["attrs"])
+        element = Element(tag, attrs)
         stack[-1].parts.append(element)
-        if tag in RAW and not found["attrs"].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]|\Z", re.I).search(page, at)
-            close = page.find(">", end.start())
+        if tag in RAW and not empty:
+            end = RAW_END[tag].search(page, at).start()
+            close = page.find(">", end)
             at = len(page) if close < 0 else close + 1
-        elif tag not in VOID and not found["attrs"].endswith("/"):
+        elif tag not in VOID and not empty:
             stack.append(element)
     return root
 
@@ -184,7 +250,8 @@ def template_candidates(page: str) -> tuple[int, dict[int, tuple[bool, int]]]:
             strict, known = found.get(element.digest, (True, around))
             # Outside the content as well, the page counts.
             around = root.digest if root.digest in (around, known) else known
-            found[element.digest] = (strict and bool(inside or text), around)
+            more = bool(inside or text) and not (inside and element.suspect())
+            found[element.digest] = (strict and more, around)
     return root.digest, found
 
 
@@ -197,7 +264,7 @@ def own_words(body: Element, template: frozenset[int] | set[int]) -> frozenset[i
         part, gone = todo.pop()
         if isinstance(part, str):
             size[gone] += len("".join(part.split()))
-        elif not part.around():
+        elif not part.around(True):
             if part.tag in TEXT_BLOCKS and part.digest in template:
                 recurring.add(part.digest)
                 gone = True
@@ -214,7 +281,7 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
     bodies, todo = [], [root]
     while todo:
         element = todo.pop()
-        if element.around():
+        if element.around(False):
             continue
         if element.tag in CONTENT:
             bodies.append(element)
@@ -230,14 +297,14 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
         line.clear()
 
     copied = frozenset().union(*(own_words(body, template) for body in bodies)) if template else frozenset()
-    todo = (bodies or [root])[::-1]
+    todo, own = (bodies or [root])[::-1], {id(body) for body in bodies}
     while todo:
         part = todo.pop()
         if part is None:
             end_block()
         elif isinstance(part, str):
             line.append(part)
-        elif part.around() or (
+        elif (id(part) not in own and part.around(bool(bodies))) or (
             part.digest in template and part.tag not in NEVER_TEMPLATE and part.digest not in copied
         ):
             if part.tag in BLOCKS:
@@ -257,6 +324,7 @@ def extract_pages(
     min_share: float = MIN_SHARE,
     min_share_of_text: float = MIN_SHARE_OF_TEXT,
     many_pages: int = MANY_PAGES,
+    most_templates: int = MOST_TEMPLATES,
     page_id: str = "page_id",
     url: str = "url",
     html: str = "html",
@@ -276,9 +344,12 @@ def extract_pages(
     order by one ``\\n``. Returns ``page_id``, ``url``, ``text`` and ``n_chars``.
 
     A null or empty page has an empty text. A page whose URL is null or has no host
-    belongs to the host "". Rows of one ``page_id`` share the templates found in any of
-    them; rows with a null id come out without host templates removed. Other columns are
-    not read.
+    belongs to the host "". Ids play no part: repeated and null ones come out as others do.
+    A tag or quote that is not closed goes to the end of the page, as in browsers. Other
+    columns are not read.
+
+    Up to ``most_templates`` recurring subtrees are sent to all executors; more are joined
+    to their pages.
     """
     host = F.lower(
         F.regexp_extract(F.coalesce(df[url], F.lit("")), r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1)
@@ -290,33 +361,37 @@ def extract_pages(
         host.alias("host"),
     )
 
+    # Rows with the same host and HTML share what is found.
+    pages = pages.withColumn("version", F.xxhash64("html"))
+
     def candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, hosts, whole, hashes, strict = [], [], [], [], []
-        for page, name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            digest, found = template_candidates(value or "")
+        columns: list[list] = [[] for _ in range(3)]
+        for value in strings(batch.column(2)):
+            digest, found = template_candidates(value)
             # The page itself, so that pages without candidates count for their host.
-            hashes += [0, *found]
-            strict += [True, *(larger for larger, _ in found.values())]
-            ids += [page] * (len(found) + 1)
-            hosts += [name] * (len(found) + 1)
-            whole += [digest, *(around for _, around in found.values())]
-        digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (whole, hashes)]
-        columns = [long_array(ids), pa.array(hosts, pa.string()), *digests, pa.array(strict, pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "page", "hash", "strict"])
-
-    with_id = pages.filter("page_id IS NOT NULL").select("page_id", "host", "html")
-    subtrees = stage(
-        map_arrow(with_id, candidates, "page_id long, host string, page long, hash long, strict boolean"),
-        "page-subtrees",
-    )
+            around = [digest, *(a for _, a in found.values())]
+            row = ([0, *found], [True, *(larger for larger, _ in found.values())], around)
+            for column, values in zip(columns, row, strict=True):
+                column.append(values)
+        hashes, strict, around = columns
+        signed = lambda rows: pa.array([np.array(r, np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
+        out = [batch.column(0), batch.column(1), signed(hashes), pa.array(strict, pa.list_(pa.bool_())), signed(around)]
+        return pa.RecordBatch.from_arrays(out, names=["host", "version", "hash", "strict", "page"])
+
+    schema = "host string, version long, hash array<long>, strict array<boolean>, page array<long>"
+    subtrees = stage(map_arrow(pages.select("host", "version", "html"), candidates, schema), "page-subtrees")
+    one = F.arrays_zip("hash", "strict", "page")
     # Grouped by page first: a large host's rows are split by it, and copies of a page
     # become one. Then each task sends one sum for each subtree.
     counted = (
-        subtrees.groupBy("host", "hash", "page")
+        subtrees.select("host", F.inline(one))
+        .groupBy("host", "hash", "page")
         .agg(F.min("strict").alias("strict"))
         .groupBy("host", "hash")
         .agg(F.count(F.lit(1)).alias("n"), F.min("strict").alias("strict"))
+        .filter((F.col("n") >= min_pages) | (F.col("hash") == 0))
     )
+    counted = stage(counted, "subtree-counts")
     sizes = counted.filter("hash = 0").select("host", F.col("n").alias("pages"))
     share = F.when(F.col("strict"), min_share_of_text).otherwise(min_share)
     recurring = (
@@ -325,17 +400,29 @@ def extract_pages(
         .filter((F.col("n") >= F.col("pages") * share) | (~F.col("strict") & (F.col("n") >= many_pages)))
         .select("host", "hash")
     )
-    own = subtrees.join(recurring, ["host", "hash"]).groupBy("page_id").agg(F.collect_set("hash").alias("template"))
+    recurring = stage(recurring, "templates")
+    if recurring.count() <= most_templates:
+        # Few enough to be sent to all executors, so that no HTML is shuffled.
+        of_host: dict[str, set[int]] = {}
+        for row in recurring.collect():
+            of_host.setdefault(row["host"], set()).add(row["hash"] & MASK)
+        sent = df.sparkSession.sparkContext.broadcast(of_host)
+        joined = pages.select("page_id", "url", "html", "host")
+    else:
+        sent = None
+        own = subtrees.select("host", "version", F.explode("hash").alias("hash")).join(recurring, ["host", "hash"])
+        own = own.groupBy("host", "version").agg(F.collect_set("hash").alias("template"))
+        joined = pages.join(own, ["host", "version"], "left").select("page_id", "url", "html", "template")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        templates = batch.column(3).to_pylist()
-        texts = []
-        for value, template in zip(strings(batch.column(2)), templates, strict=True):
-            gone = {h & 0xFFFFFFFFFFFFFFFF for h in template or ()}
-            texts.append(main_text(value, gone))
+        last = batch.column(3).to_pylist()
+        if sent is not None:
+            templates = [sent.value.get(host, frozenset()) for host in last]
+        else:
+            templates = [{h & MASK for h in found or ()} for found in last]
+        texts = [main_text(*pair) for pair in zip(strings(batch.column(2)), templates, strict=True)]
         columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string())]
         columns.append(long_array([len(t) for t in texts]))
         return pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    joined = pages.join(own, "page_id", "left").select("page_id", "url", "html", "template")
     return map_arrow(joined, rows, "page_id long, url string, text string, n_chars long")
