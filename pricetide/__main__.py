@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from pricetide.operators.quality import content_sample, layer_profile
-from pricetide.plans import medallion
+from pricetide.plans import incremental, medallion
 from pricetide.session import build_session
 from pricetide.sinks import (
     TABLES,
@@ -27,7 +27,10 @@ from pricetide.sinks import (
 )
 from pricetide.sources import read_table_or_none
 
-STAGES = ("run", "bronze", "silver", "quality", "gold", "profile", "sample", "export", "serve")
+STAGES = (
+    "run", "bronze", "bronze-by-folder", "silver", "quality", "gold", "gold-by-date",
+    "profile", "sample", "export", "serve",
+)
 
 
 def parse(argv: Sequence[str] | None) -> argparse.Namespace:
@@ -64,12 +67,16 @@ def execute(spark: SparkSession, args: argparse.Namespace) -> object:
         return medallion.run(spark, args.root, args.late)
     if args.stage == "bronze":
         return medallion.refresh_bronze(spark, layout)
+    if args.stage == "bronze-by-folder":
+        return medallion.refresh_bronze_by_folder(spark, layout)
     if args.stage == "silver":
         return medallion.refresh_silver(spark, layout, args.late)
     if args.stage == "quality":
         return medallion.check_silver(spark, layout)
     if args.stage == "gold":
         return medallion.refresh_gold(spark, layout)
+    if args.stage == "gold-by-date":
+        return incremental.refresh_gold_by_date(spark, layout)
     if args.stage == "profile":
         return _profile(spark, layout)
 

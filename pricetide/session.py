@@ -86,15 +86,25 @@ def sized_shuffles(
         spark.conf.set(SHUFFLE_PARTITIONS, before)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.conf.get("spark.master", "local")
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared checkpoint directory.
 
     The directory comes from ``spark.checkpoint.dir``; where that is unset, it is a folder
-    below the warehouse, which executors share as well.
+    below the warehouse. On a cluster, a warehouse on the driver's own disk is refused, as
+    executors do not share it.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not is_local(spark) and warehouse.startswith(("file:", "/")):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+        base = f"{warehouse.rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/pricetide/{label}-{uuid.uuid4().hex}"
 
 

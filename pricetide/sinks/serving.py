@@ -39,6 +39,9 @@ TABLES = (
     "history_stats",
 )
 
+# Fixed prefix of the served tables' names.
+PREFIX = "crypto_"
+
 # Served tables whose older rows stay as they are while newer ones come, with their time.
 GROWING = {
     "price_history": "observed_at",
@@ -62,7 +65,7 @@ MARK = T.StructType(
     [
         T.StructField("table_name", T.StringType()),
         T.StructField("served_to", T.TimestampType()),
-        T.StructField("set_at", T.TimestampType()),
+        T.StructField("set_no", T.LongType()),
     ]
 )
 
@@ -108,7 +111,7 @@ def load_tables(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
     write: WriteTable,
-    prefix: str = "crypto_",
+    prefix: str = PREFIX,
 ) -> DataFrame:
     """Write each table under its serving name; one result row per table.
 
@@ -125,7 +128,7 @@ def load_new_rows(
     write: WriteTable,
     append: WriteTable,
     marks: str,
-    prefix: str = "crypto_",
+    prefix: str = PREFIX,
     growing: Mapping[str, str] = GROWING,
 ) -> DataFrame:
     """As :func:`load_tables`, but growing tables get only rows after the last served time.
@@ -172,11 +175,14 @@ def _served_to(spark: SparkSession, marks: str, table: str) -> datetime | None:
     if stored is None:
         return None
     own = stored.filter(F.col("table_name") == table)
-    return own.agg(F.max_by("served_to", "set_at")).first()[0]
+    return own.agg(F.max_by("served_to", "set_no")).first()[0]
 
 
 def _set_mark(spark: SparkSession, marks: str, table: str, served_to: datetime | None) -> None:
-    row = spark.createDataFrame([(table, served_to, datetime.now())], MARK)
+    # Numbered, as clocks may stand still or go back.
+    stored = read_table_or_none(spark, marks, MARK)
+    last = None if stored is None else stored.filter(F.col("table_name") == table).agg(F.max("set_no")).first()[0]
+    row = spark.createDataFrame([(table, served_to, (last or 0) + 1)], MARK)
     row.write.mode("append").parquet(marks)
 
 

@@ -1,3 +1,5 @@
+from unittest.mock import MagicMock
+
 import pytest
 
 from pricetide import session
@@ -15,6 +17,22 @@ def test_scratch_paths_are_never_shared(spark):
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
 
 
+def test_a_cluster_needs_a_shared_folder():
+    def of(**conf):
+        names = {k.replace("_", "."): v for k, v in conf.items()}
+        fake = MagicMock()
+        fake.conf.get = lambda name, default=None: names.get(name, default)
+        return session.scratch_path(fake, "x")
+
+    warehouse = {"spark_sql_warehouse_dir": "file:/tmp/warehouse"}
+    assert of(spark_master="local[4]", **warehouse).startswith("file:/tmp/warehouse/_scratch/")
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="all executors share"):
+            of(spark_master=master, **warehouse)
+        assert of(spark_master=master, spark_sql_warehouse_dir="hdfs://n/w").startswith("hdfs://n/w/_scratch/")
+        assert of(spark_master=master, spark_checkpoint_dir="file:/shared", **warehouse).startswith("file:/shared/")
+
+
 def test_a_staged_table_is_broadcast_only_below_the_threshold(spark):
     small = session.stage(spark.range(10), "small")
 
