@@ -538,9 +538,9 @@ scores AS (SELECT *, ROUND((price - mean) / NULLIF(sd, 0), 6) AS z_score FROM be
     "quality_log": _with(
         _FLAT,
         select="""SELECT 'flat' AS layer, COUNT(*) AS total_records,
-          COUNT(*) FILTER (price <= 0) AS negative_price_count,
-          COUNT(*) = COUNT(*) FILTER (price > 0 AND symbol IS NOT NULL) AS passed FROM flat
-          UNION ALL SELECT 'gated', COUNT(*), COUNT(*) FILTER (price <= 0), TRUE FROM gated""",
+          COUNT(*) FILTER (price < 0) AS negative_price_count,
+          COUNT(*) FILTER (price IS NULL OR symbol IS NULL OR price < 0) = 0 AS passed FROM flat
+          UNION ALL SELECT 'gated', COUNT(*), COUNT(*) FILTER (price < 0), TRUE FROM gated""",
     ),
     "csv_export": ORACLE["price_history"],
     "content_columns": _with(_MARKET, select="SELECT symbol, name, ROUND(price, 6) AS price FROM latest"),

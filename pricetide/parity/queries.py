@@ -19,6 +19,7 @@ from pricetide.sinks import (
     append_silver,
     export_csv,
     load_tables,
+    read_csv,
     rename_columns,
     serving_preview,
     versions,
@@ -700,7 +701,7 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_path(configure(spark), 'export')}/history"
     export_csv(history.price_history(standin.events(spark, sf_dir)), path)
     schema = "observed_at timestamp_ntz, symbol string, price double, volume_24h double, market_cap double"
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return read_csv(spark, path, schema)
 
 
 def content_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

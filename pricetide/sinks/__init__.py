@@ -3,6 +3,7 @@ from pricetide.sinks.files import (  # noqa: F401
     export_csv,
     overwrite_dates,
     overwrite_parquet,
+    read_csv,
     write_report,
 )
 from pricetide.sinks.serving import (  # noqa: F401
