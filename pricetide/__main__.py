@@ -26,6 +26,7 @@ from pricetide.sinks import (
     require_loaded,
 )
 from pricetide.sources import read_table_or_none
+from pricetide.sources.folders import OPEN_FOLDERS
 
 STAGES = (
     "run", "bronze", "bronze-by-folder", "silver", "quality", "gold", "gold-by-date",
@@ -38,6 +39,8 @@ def parse(argv: Sequence[str] | None) -> argparse.Namespace:
     parser.add_argument("stage", choices=STAGES)
     parser.add_argument("root", help="folder of the lakehouse")
     parser.add_argument("--late", choices=("drop", "admit"), default="drop")
+    parser.add_argument("--open-folders", type=int, default=OPEN_FOLDERS,
+                        help="landing folders before the newest that may still get files")
     parser.add_argument("--out", help="folder of the CSV export")
     parser.add_argument("--url", help="JDBC address to serve to")
     parser.add_argument("--prefix", default="crypto_", help="prefix of served table names")
@@ -68,7 +71,7 @@ def execute(spark: SparkSession, args: argparse.Namespace) -> object:
     if args.stage == "bronze":
         return medallion.refresh_bronze(spark, layout)
     if args.stage == "bronze-by-folder":
-        return medallion.refresh_bronze_by_folder(spark, layout)
+        return medallion.refresh_bronze_by_folder(spark, layout, args.open_folders)
     if args.stage == "silver":
         return medallion.refresh_silver(spark, layout, args.late)
     if args.stage == "quality":
