@@ -31,18 +31,36 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """The rows with a number of their own, written, so that it stays the same. Ids may be
+    null or repeated."""
+    return stage(df.withColumn("row", F.monotonically_increasing_id()), label)
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of similar documents, the one with the smallest id; all that have no id."""
-    groups = jaccard_components(docs)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stage(gone, "near-copies"), "doc_id", "left_anti").select(*COLUMNS)
+    """Of similar documents, the one with the smallest id.
+
+    Rows are compared whatever their ids: repeated rows are copies, of which one stays, and
+    rows without an id come after all others.
+    """
+    rows = numbered(docs.select(*COLUMNS), "numbered-documents")
+    groups = jaccard_components(rows, doc_id="row")
+    linked = stage(groups.filter("doc_id != component_id").select("doc_id", "component_id"), "linked")
+    roots = linked.select(F.col("component_id").alias("doc_id"), "component_id").distinct()
+    members = linked.union(roots).toDF("row", "group")
+    ids = members.join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.isnull("doc_id").alias("absent"), "doc_id", "row"))["row"]
+    kept = stage(ids.groupBy("group").agg(first.alias("kept")), "kept")
+    gone = members.join(kept, "group").filter("row != kept").select("row")
+    return rows.join(stage(gone, "near-copies"), "row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of the benchmark."""
-    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    leaks = find_items(docs, items).select("doc_id").distinct()
-    return docs.join(stage(leaks, "leaks"), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that contain no item of the benchmark, whatever the ids of either."""
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet").select("text")
+    rows = numbered(docs.select(*COLUMNS), "numbered-documents")
+    leaks = find_items(rows, numbered(items, "numbered-items"), doc_id="row", item_id="row")
+    return rows.join(stage(leaks.select("doc_id").distinct().toDF("row"), "leaks"), "row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
