@@ -13,11 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.text import slices
-from pricetide.session import stage
 
 HASHES = 128  # a power of two
 SHIFT = np.uint64(64 - HASHES.bit_length() + 1)
@@ -100,6 +99,18 @@ def fingerprint(text: str) -> str:
     return Parsed(text).marks.tobytes().hex()
 
 
+def range_of(number: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are not above the number, by binary search."""
+    above = F.lit(cuts).cast("array<long>")
+    steps = [F.lit(1 << bit) for bit in reversed(range(len(cuts).bit_length()))]
+
+    def advance(found: Column, step: Column) -> Column:
+        # Beyond the last cut there is NULL, which is no reason to go on.
+        return F.when(F.get(above, found + step - 1) <= number, found + step).otherwise(found)
+
+    return F.aggregate(F.array(*steps), F.lit(0), advance) if cuts else F.lit(0)
+
+
 OUT_SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
     "edited_fingerprint string, near_edited double, near_next double"
@@ -132,22 +143,22 @@ def fingerprint_documents(
     buckets = max(1, min(MAX_BUCKETS, -(-rows // rows_per_bucket)))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = docs.agg(F.percentile_approx("id", shares, 10 * buckets)).first()[0] if shares else None
-    above = F.lit(sorted(set(cuts or ()))).cast("array<long>")
-    keyed = docs.withColumn("bucket", F.size(F.filter(above, lambda cut: cut <= F.col("id"))))
+    keyed = docs.withColumn("bucket", range_of(F.col("id"), sorted(set(cuts or ()))))
     # The first row of each range also goes to the next higher range that has rows, and
-    # that of the highest to the lowest.
-    tops = stage(keyed.groupBy("bucket").agg(F.max("id").alias("top")), "range-tops")
-    upward = Window.orderBy("bucket")
-    tops = tops.withColumn(
-        "also", F.coalesce(F.lead("bucket").over(upward), F.first("bucket").over(upward))
-    )
-    # At most MAX_BUCKETS rows, so it may be sent to all executors.
-    ends = keyed.join(F.broadcast(tops), "bucket")
+    # that of the highest to the lowest. There are no more ranges than MAX_BUCKETS.
+    tops = sorted(map(tuple, keyed.groupBy("bucket").agg(F.max("id")).collect()))
+    top, also = [None] * buckets, [None] * buckets
+    for at, (bucket, highest) in enumerate(tops):
+        top[bucket], also[bucket] = highest, tops[(at + 1) % len(tops)][0]
+
+    def of_range(values: list[int | None], kind: str) -> Column:
+        return F.get(F.lit(values).cast(f"array<{kind}>"), F.col("bucket"))
+
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("after"))
-    also = F.struct(F.col("also").alias("bucket"), F.lit(1).alias("after"))
-    to = F.when(F.col("id") == F.col("top"), F.array(own, also)).otherwise(F.array(own))
+    following = F.struct(of_range(also, "int").alias("bucket"), F.lit(1).alias("after"))
+    to = F.when(F.col("id") == of_range(top, "long"), F.array(own, following)).otherwise(F.array(own))
     dealt = (
-        ends.select("id", "text", F.explode(to).alias("to"))
+        keyed.select("id", "text", F.explode(to).alias("to"))
         .select("to.bucket", "to.after", "id", "text")
         .repartition("bucket")
         .sortWithinPartitions("bucket", "after", F.desc("id"), "text")
