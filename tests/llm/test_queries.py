@@ -7,6 +7,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import compare, connect
@@ -59,3 +60,42 @@ def test_stages_give_the_columns_of_documents(spark):
     out = corpus_pipeline.drop_repeated_lines(spark, docs, SF)
     assert out.dtypes == docs.dtypes
     assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
+
+
+def test_stages_go_by_rows_not_by_ids(spark, docs, tmp_path):
+    """Nulls, repeats and ties through the stages that compare documents."""
+    item = "one two three four five six seven eight nine ten"
+    items = [(1, item), (None, "alpha beta gamma delta epsilon zeta"), (1, ""), (None, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    text = " ".join(f"w{i}" for i in range(80))
+    near = text.replace("w7 ", "")
+    rows = [
+        (5, text), (5, text), (4, near), (None, text), (None, "alone without any id at all"),
+        (6, "another text of one id"), (6, f"before {item} after"), (None, f"x {items[1][1]} y"),
+        (7, None), (8, ""), (9, "short"), (10, "short"),
+    ]
+    table = docs(rows, 3)
+    for name in ("row", "group", "kept", "node"):
+        table = table.withColumn(name, F.lit(1))
+    kept = corpus_pipeline.keep_one_of_each_group(spark, table, str(tmp_path))
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    left = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    gone = [(5, text), (5, text), (None, text), (10, "short")]
+    assert left == sorted(set(rows) - set(gone), key=str)
+    clean = corpus_pipeline.drop_contaminated(spark, kept, str(tmp_path))
+    contaminated = {(6, f"before {item} after"), (None, f"x {items[1][1]} y")}
+    assert {(r["doc_id"], r["text"]) for r in clean.collect()} == set(left) - contaminated
+    assert corpus_pipeline.keep_one_of_each_group(spark, table.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.drop_contaminated(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
+def test_odd_rows_through_all_stages(spark, odd, tmp_path):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, "word word word"), (1, None)], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet")
+    )
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Without a letter: 1, 2, 3. Items are compared by their words in a row, and the one of
+    # three words is a whole sequence, which no longer text has.
+    assert {r["doc_id"] for r in pieces} == {4, 5, 6, 7, None}
+    assert sum(r["doc_id"] == 4 for r in pieces) == 1

@@ -2,17 +2,35 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.feature import HashingTF
 
 from pricetide.llm.html_extract import extract_pages, main_text
 from pricetide.llm.language_id import grams, identify_languages, is_held_out, ranked
-from pricetide.llm.license_scan import TEMPLATES, scan_licenses
+from pricetide.llm.license_scan import (
+    FEATURES,
+    TEMPLATES,
+    scan_licenses,
+    scored,
+    template_table,
+    train,
+    training_rows,
+)
 from pricetide.llm.line_dedup import dedup_lines
-from pricetide.llm.lz_fingerprint import Parsed, fingerprint, fingerprint_documents, parse
+from pricetide.llm.lz_fingerprint import (
+    HASHES,
+    Parsed,
+    fingerprint,
+    fingerprint_documents,
+    parse,
+    phrase_hashes,
+    range_of,
+)
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,6 +108,53 @@ def test_held_out_languages_are_found(spark):
     assert all(r["held_out"] == is_held_out(r["doc_id"]) for r in rows)
 
 
+def brute_ranks(texts, size=300):
+    counts: dict[str, int] = {}
+    for text in texts:
+        letters = "".join(c if c.isalpha() or c == "'" else " " for c in text.lower())
+        padded = f" {' '.join(letters.split())} " if letters.split() else " "
+        for n in (1, 2, 3):
+            for at in range(len(padded) - n + 1):
+                gram = padded[at : at + n]
+                if gram != " ":
+                    counts[gram] = counts.get(gram, 0) + 1
+    return sorted(counts, key=lambda g: (-counts[g], len(g), g))[:size]
+
+
+def brute_languages(rows):
+    learnt: dict[str, list] = {}
+    for doc, text, lang in rows:
+        if text is not None and lang is not None and not is_held_out(doc) and any(map(str.isalpha, text)):
+            learnt.setdefault(lang, []).append(text)
+    profiles = {lang: {g: r for r, g in enumerate(brute_ranks(texts))} for lang, texts in learnt.items()}
+    out = []
+    for doc, text, _ in rows:
+        if not any(map(str.isalpha, text or "")):
+            out.append((doc, "und", 0.0))
+            continue
+        own = brute_ranks([text])
+        apart = sorted(
+            (sum(abs(p[g] - r) if g in p else 300 for r, g in enumerate(own)) / (300 * len(own)), lang)
+            for lang, p in profiles.items()
+        )
+        out.append((doc, apart[0][1], (apart[1][0] - apart[0][0]) / apart[1][0] if apart[1][0] else 0.0))
+    return out
+
+
+def test_languages_and_scores_are_those_of_all_distances(docs):
+    rng = random.Random(8)
+    sounds = {"aa": ["ba", "na", "lo", "é"], "bb": ["kri", "zu", "'t", "ba"], "cc": ["日", "本", "na", "Ö"]}
+    rows = []
+    for i in range(90):
+        lang = rng.choice(list(sounds))
+        words = ["".join(rng.choice(sounds[lang]) for _ in range(rng.choice([1, 2, 5]))) for _ in range(rng.choice([1, 4, 50]))]
+        rows.append((i, rng.choice([" ", ", ", "\n 7 "]).join(words), lang))
+    rows += [(200, "12 !?", "aa"), (201, None, "aa"), (202, "banana", None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify_languages(docs(rows)).collect()}
+    for doc, lang, score in brute_languages(rows):
+        assert got[doc][0] == lang and got[doc][1] == pytest.approx(score, abs=1e-12)
+
+
 def test_held_out_labels_teach_nothing(docs):
     rows = [(i, "zzz yyy xxx" if is_held_out(i) else "abc abd abe", "aa" if is_held_out(i) else "bb") for i in range(60)]
     found = identify_languages(docs(rows)).collect()
@@ -223,6 +288,52 @@ def test_main_text(body, want):
     assert main_text(PAGE.format(body)) == want
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<article>Own.<article class='comment'>Nice!</article></article>", "Own."),
+        ("<article>Own.</article><article class='teaser-card'>Other</article>", "Own."),
+        ("<header>Site name</header><div>Text.</div>", "Text."),
+        ("<article><header><h1>Title</h1></header>Text.</article>", "Title\nText."),
+        ("<p title=it's>Hello</p><p title='a > b'>you</p>", "Hello\nyou"),
+        ("<article><section class='notices-of-intent'>Kept.</section><div class='legal'>And this.</div></article>", "Kept.\nAnd this."),
+        ("<article><p class='byline'>By A</p><p class=tags>x</p><p class='copyright'>C</p></article>", "By A\nx\nC"),
+        ("<article><div class='comment-list'>Nice!</div><aside>x</aside><div id=related-posts>More</div>Own.</article>", "Own."),
+        ("<article>Let <math><mi>x</mi></math> be.</article>", "Let x be."),
+        ("<div id=topnav>Home</div><div id='mainMenu'>A</div>Text.", "Text."),
+        ("<p title='the hidden gem'>Seen</p><p hidden>not</p><p style='color:red;display: none'>not</p>", "Seen"),
+        ("Text.<!-- never closed <p>gone</p>", "Text."),
+        ("Text.<a href='never closed>gone</a>", "Text."),
+        ("1 < 2 &lt; 3 <3", "1 < 2 < 3 <3"),
+        ("<script>if (a</b>) {}</script>Text<style>p{}</style>.", "Text."),
+    ],
+)
+def test_what_markup_says(body, want):
+    assert main_text(f"<html><head><title>T</title></head><body>{body}</body></html>") == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a b='", "<a b=", "<!--", "<div><p>", "</", "<p class=a b>", "&", "<a\n/"])
+def test_a_megabyte_of_any_markup(unit):
+    start = time.process_time()
+    main_text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - start < 20
+    start = time.process_time()
+    main_text(unit * (100_000 // len(unit)))
+    assert time.process_time() - start < 2
+
+
+def test_joined_templates_are_those_that_are_sent(spark):
+    rows = []
+    for i in range(30):
+        notice = "<p>Read our terms of use.</p><div class='legal'>All rights.</div>" if i % 3 else ""
+        body = f"<div><span>Site</span></div><article><h1>T {i}</h1><p>Text {i} itself.</p>{notice}</article>"
+        rows.append((i % 20, f"https://a{i % 2}.example/{i}", PAGE.format(body)))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    sent, joined = (extract_pages(table, most_templates=n).collect() for n in (1000, 0))
+    assert sorted(sent) == sorted(joined)
+    assert {r["text"].split("\n", 1)[1] for r in sent} == {f"Text {i} itself." for i in range(30)}
+
+
 def test_what_a_host_repeats_goes(spark):
     rows = []
     for i in range(12):
@@ -279,3 +390,65 @@ def test_odd_pages(spark):
         [(1, "", 0), (2, "", 0), (2, "x", 1), (None, "y", 1), (3, "<" * 500, 500), (4, "deep", 4)], key=str
     )
     assert extract_pages(table.limit(0)).count() == 0
+
+
+def brute_marks(text):
+    """The smallest hash of each range, found one by one."""
+    phrases: set[str] = set()
+    rest = parse(text, phrases)
+    hashes = sorted(phrase_hashes(phrases | ({rest} if rest else set())).tolist())
+    if not hashes:
+        return [0xFFFF] * HASHES
+    shift, out = 64 - (HASHES.bit_length() - 1), []
+    for place in range(HASHES):
+        for away in range(HASHES):
+            own = [h for h in hashes if h >> shift == (place + away) % HASHES]
+            if own:
+                mixed = (((own[0] << 8) + away) % 2**64 * 0x9E3779B97F4A7C15) % 2**64
+                out.append(mixed >> 48)
+                break
+    return out
+
+
+def test_likeness_is_that_of_all_marks(docs):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 5, 60, 200])))) for i in range(25)] + [(99, ""), (98, None)]
+    got = {r["doc_id"]: r for r in fingerprint_documents(docs(rows, 3), rows_per_bucket=4).collect()}
+    ordered = sorted(rows, key=lambda r: -r[0])
+    for (doc, text), (_, after) in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        text, after = text or "", after or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own, other, following = (brute_marks(t) for t in (text, edited, after))
+        assert got[doc]["near_edited"] == sum(a == b for a, b in zip(own, other, strict=True)) / HASHES
+        assert got[doc]["near_next"] == sum(a == b for a, b in zip(own, following, strict=True)) / HASHES
+        assert got[doc]["fingerprint"] == "".join(f"{m:04x}" for m in own)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 1000])
+def test_ranges_of_ids(spark, n):
+    cuts = [3 * i - 50 for i in range(n)]
+    numbers = [-(1 << 63), -51, -50, -49, 0, 1, 2, 3, 2945, 2946, 2947, 2948, (1 << 63) - 1]
+    df = spark.createDataFrame([(x,) for x in numbers], "x long")
+    found = {r["x"]: r["n"] for r in df.select("x", range_of(df["x"], cuts).alias("n")).collect()}
+    assert found == {x: sum(c <= x for c in cuts) for x in numbers}
+
+
+def test_licence_scores_are_those_of_the_weights(spark):
+    """Every score once more from the fitted weights, feature by feature."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = train(training_rows(documents, template_table(spark), 300))
+    weights, start = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    hashing = HashingTF(numFeatures=FEATURES)
+    samples = [t.lower().split() for _, t in TEMPLATES[:12]] + [["the"], ["the", "the", "of"], ["licensed", "under", "nothing"]]
+    samples += [r["text"].lower().split()[:40] for r in documents.filter("text != ''").limit(10).collect()]
+    samples = [w for w in samples if w]
+    table = spark.createDataFrame([(i, w) for i, w in enumerate(samples)], "i int, words array<string>")
+    got = {r["i"]: (r["score"], r["label"]) for r in scored(model, table).collect()}
+    for i, words in enumerate(samples):
+        grams = {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+        z = start + weights[:, sorted({hashing.indexOf(g) for g in grams})].sum(axis=1)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best = int(p[1:].argmax())
+        assert got[i][0] == pytest.approx(1 - p[0], abs=1e-9)
+        assert got[i][1] == (best + 1 if p[1 + best] > (1 - p[0]) / 2 else 0)
