@@ -6,8 +6,10 @@
    it shares most keys with; links make components.
 3. In a key's group that is not one component yet, an R-tree over count vectors finds the
    pairs of different components that may be similar. A count vector says how many of a
-   node's shingles fall into each of 256 hash groups; the sum of the smaller counts bounds
-   what two nodes can share. Surviving pairs are compared shingle by shingle.
+   node's shingles fall into each hash group; the sum of the smaller counts bounds what two
+   nodes can share. Boxes have 256 groups; the vectors of two nodes have about as many
+   groups as shingles, since few groups bound long texts too loosely. Surviving pairs are
+   compared shingle by shingle.
 
 Links inside a component change nothing and are not looked for, so large groups of near
 copies never become all their pairs.
@@ -30,14 +32,16 @@ from pricetide.llm.encoding import long_array
 from pricetide.llm.text import SHINGLE_WORDS, SIMILARITY_PERCENT, map_arrow, shingles, slices, utf8
 from pricetide.session import stage
 
+# Hash groups of the boxes, and the most that one node's vector has.
 GROUPS = 256
+MOST_GROUPS = 1 << 15
 # A shingle in this many of the drawn documents counts as frequent; one in DRAWN is drawn.
 FREQUENT = 3
 DRAWN = 16
 # A frequent key's nodes are split into so many groups, each with its own pivot.
 SALTS = 64
 # Members of a mixed group that one task joins; larger groups become pairs of blocks.
-BLOCK_NODES = 4096
+BLOCK_NODES = 512
 LEAF = 16
 # Nodes remembered by a task, so that copies it has met send no keys again.
 SEEN = 500_000
@@ -49,9 +53,19 @@ def prefix_size(n: int, percent: int = SIMILARITY_PERCENT) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
+def groups_of(n: int) -> int:
+    """Hash groups for a set of ``n`` shingles: a power of two from ``n`` on, in bounds."""
+    return min(MOST_GROUPS, max(GROUPS, 1 << max(0, n - 1).bit_length()))
+
+
 def count_vector(hashes: np.ndarray) -> np.ndarray:
-    """How many hashes fall into each group, by bits the keys' order does not depend on."""
-    return np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    """How many hashes fall into each group, by bits the keys' order does not depend on.
+
+    As these are the lowest bits, summing halves folds a vector to fewer groups.
+    """
+    groups = groups_of(len(hashes))
+    counts = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
 
 
 def similar(shared, total, percent: int = SIMILARITY_PERCENT):
@@ -100,9 +114,8 @@ def signatures(docs: DataFrame, bitmap, size: int, percent: int) -> DataFrame:
                     common = passes(bits, own)
                     rare = own[~common]
                     keys = np.concatenate((rare, own[common]))[: prefix_size(len(own), percent)]
-                    counts = count_vector(own)
-                    kind = np.uint8 if counts.max() < 256 else np.uint32
-                    row = (node, len(own), counts.astype(kind).tobytes(), keys.view(np.int64), min(len(rare), len(keys)))
+                    packed = count_vector(own).tobytes()
+                    row = (node, len(own), packed, keys.view(np.int64), min(len(rare), len(keys)))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             nodes = pa.array(out[0], pa.uint64()).view(pa.int64())
@@ -158,35 +171,82 @@ def stars(signed: DataFrame) -> DataFrame:
     )
 
 
-def vectors(packed: list[bytes]) -> np.ndarray:
-    """Count vectors from their bytes, one row each."""
-    wide = [np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32) for p in packed]
-    return np.stack(wide).astype(np.int32) if wide else np.empty((0, GROUPS), np.int32)
+def unpacked(packed: bytes, n: int) -> np.ndarray:
+    """A count vector from its bytes, in either width."""
+    return np.frombuffer(packed, np.uint8 if len(packed) == groups_of(n) else np.uint32)
 
 
-def link_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of nodes ``u``, ``v`` that are similar, compared on their whole texts."""
-    spark = docs.sparkSession
-    thin = nodes.select("node", "n", "counts", "doc_id")
+def folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    """The vector with only so many groups, a power of two."""
+    if len(vector) == groups:
+        return vector
+    whole = vector.reshape(-1, groups).sum(axis=0, dtype=np.uint32)
+    return whole.astype(np.uint8) if whole.max() < 256 else whole
+
+
+class Counts:
+    """Count vectors of several nodes, compared at the coarser of two nodes' groups."""
+
+    def __init__(self, own: list[np.ndarray]) -> None:
+        self.own = own
+        self.groups = np.array([len(v) for v in own], np.int64)
+        self.coarse = self._matrix(range(len(own)), GROUPS)
+        self._known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _matrix(self, rows, groups: int) -> np.ndarray:
+        found = [folded(self.own[i], groups) for i in rows]
+        return np.stack(found) if found else np.empty((0, groups), np.uint8)
+
+    def _at(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each node is in the matrix of those with at least so many groups."""
+        if groups not in self._known:
+            has = self.groups >= groups
+            place = np.cumsum(has) - 1
+            self._known[groups] = (place, self._matrix(np.flatnonzero(has), groups))
+        return self._known[groups]
+
+    def bounds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The most that nodes ``i`` and ``j`` can share."""
+        out = np.zeros(len(i), np.int64)
+        least = np.minimum(self.groups[i], self.groups[j])
+        for groups in np.unique(least).tolist():
+            place, matrix = self._at(groups)
+            here = np.flatnonzero(least == groups)
+            for part in np.array_split(here, -(-len(here) * groups // (1 << 22))):
+                low = np.minimum(matrix[place[i[part]]], matrix[place[j[part]]])
+                out[part] = low.sum(axis=1, dtype=np.int64)
+        return out
+
+
+def possible_pairs(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``u``, ``v`` that their count vectors allow to be similar."""
+    thin = nodes.select("node", "n", "counts")
 
     def bounded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = (vectors(batch.column(i).to_pylist()) for i in (2, 3))
-        total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-        kept = pa.array(similar(np.minimum(a, b).sum(axis=1), total, percent), pa.bool_())
-        columns = [batch.column(i) for i in (0, 1, 6, 7)]
-        names = ["u", "v", "u_doc", "v_doc"]
-        return pa.RecordBatch.from_arrays(columns, names=names).filter(kept)
+        n = [batch.column(i).to_numpy() for i in (4, 5)]
+        kept = []
+        for a, b, a_n, b_n in zip(*(c.to_pylist() for c in batch.columns[2:6]), strict=True):
+            groups = min(groups_of(a_n), groups_of(b_n))
+            low = np.minimum(folded(unpacked(a, a_n), groups), folded(unpacked(b, b_n), groups))
+            kept.append(int(low.sum(dtype=np.int64)))
+        pair = pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"])
+        return pair.filter(pa.array(similar(np.array(kept, np.int64), n[0] + n[1], percent), pa.bool_()))
 
     sides = [
         thin.select(*(F.col(c).alias(f"{side}_{c}") for c in thin.columns)).withColumnRenamed(f"{side}_node", side)
         for side in ("u", "v")
     ]
-    possible = (
-        pairs.join(sides[0], "u")
-        .join(sides[1], "v")
-        .select("u", "v", "u_counts", "v_counts", "u_n", "v_n", "u_doc_id", "v_doc_id")
-    )
-    possible = stage(map_arrow(possible, bounded, "u long, v long, u_doc long, v_doc long"), "possible-pairs")
+    every = pairs.join(sides[0], "u").join(sides[1], "v")
+    every = every.filter(100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n"))
+    return map_arrow(every.select("u", "v", "u_counts", "v_counts", "u_n", "v_n"), bounded, "u long, v long")
+
+
+def link_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of nodes ``u``, ``v`` that are similar, compared on their whole texts."""
+    spark = docs.sparkSession
+    of_u = nodes.select(F.col("node").alias("u"), F.col("doc_id").alias("u_doc"))
+    of_v = nodes.select(F.col("node").alias("v"), F.col("doc_id").alias("v_doc"))
+    possible = stage(pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "u_doc", "v_doc"), "possible-pairs")
     # Only texts that are needed are shuffled; a fixed-size bitmap of their ids says which.
     needed = possible.select("u_doc").union(possible.select("v_doc"))
     bitmap = spark.sparkContext.broadcast(hash_filter(needed.select(F.xxhash64("u_doc").alias("hash"))))
@@ -251,13 +311,21 @@ class Tree:
 
 
 def tree_pairs(
-    counts: np.ndarray, n: np.ndarray, component: np.ndarray, percent: int = SIMILARITY_PERCENT
+    counts: Counts,
+    n: np.ndarray,
+    component: np.ndarray,
+    percent: int = SIMILARITY_PERCENT,
+    side: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of nodes of different components that may be similar, and the bounds of
-    what they share."""
-    root = Tree(counts, n, component, np.arange(len(n)))
+    what they share. With ``side``, only pairs of a node on one and one on the other."""
+    coarse = counts.coarse.astype(np.int32)
+    sides = [np.arange(len(n))] if side is None else [np.flatnonzero(side), np.flatnonzero(~side)]
     left, right, bounds = [], [], []
-    todo = [(root, root)]
+    todo = []
+    if all(map(len, sides)):
+        trees = [Tree(coarse, n, component, rows) for rows in sides]
+        todo.append((trees[0], trees[-1]))
     while todo:
         a, b = todo.pop()
         if not a.may_link(b, percent):
@@ -268,7 +336,10 @@ def tree_pairs(
             if a is b:
                 kept &= i < j
             i, j = i[kept], j[kept]
-            bound = np.minimum(counts[i], counts[j]).sum(axis=1)
+            kept = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            kept &= similar(np.minimum(coarse[i], coarse[j]).sum(axis=1), n[i] + n[j], percent)
+            i, j = i[kept], j[kept]
+            bound = counts.bounds(i, j)
             kept = similar(bound, n[i] + n[j], percent)
             left.append(i[kept])
             right.append(j[kept])
@@ -321,10 +392,10 @@ def tree_candidates(
     """Pairs ``u``, ``v`` of different components that the groups' trees let through; with
     ``partners`` only so many likeliest ones of each node."""
 
-    def find(rows: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
-        node, component, n = (np.concatenate([r[i] for r in rows]) for i in (0, 1, 2))
-        counts = np.concatenate([r[3] for r in rows])
-        i, j, bound = tree_pairs(counts, n, component, percent)
+    def find(rows: list[tuple], across: bool) -> list[np.ndarray]:
+        node, component, n, one_side = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        counts = Counts([v for r in rows for v in r[4]])
+        i, j, bound = tree_pairs(counts, n, component, percent, one_side if across else None)
         if partners is not None and len(i):
             # Both ways, each node's partners by what they may share of the whole.
             one, other = np.concatenate((i, j)), np.concatenate((j, i))
@@ -338,25 +409,27 @@ def tree_candidates(
         return [np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple] = []
         current: tuple | None = None
 
         def result() -> pa.RecordBatch:
-            columns = [pa.array(x, pa.int64()) for x in find(held)]
+            columns = [pa.array(x, pa.int64()) for x in find(held, current[1] != current[2])]
             return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
 
         for batch in slices(batches, BLOCK_NODES):
             group = np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1)
             edges = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1)))
-            counts = vectors(batch.column(6).to_pylist())
             node, component, n = (c.to_numpy() for c in batch.columns[3:6])
+            # Copies, as a view would keep the whole batch.
+            counts = [unpacked(c, k).copy() for c, k in zip(batch.column(6).to_pylist(), n.tolist(), strict=True)]
+            one_side = batch.column(7).to_numpy() == group[:, 1]
             for start, stop in zip(edges, np.append(edges[1:], len(group)), strict=True):
                 this = tuple(group[start])
                 if current is not None and this != current:
                     yield result()
                     held = []
                 current = this
-                held.append((node[start:stop], component[start:stop], n[start:stop], counts[start:stop]))
+                held.append(tuple(x[start:stop] for x in (node, component, n, one_side, counts)))
         if held:
             yield result()
 
@@ -375,6 +448,7 @@ def tree_candidates(
             F.coalesce("component", "node").alias("component"),
             "n",
             "counts",
+            F.col("own").cast("long").alias("own"),
         )
         .repartition("key", "first", "second")
         .sortWithinPartitions("key", "first", "second")
@@ -416,7 +490,8 @@ def jaccard_components(
     tally = tied.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("keys"))
     pairs = stage(tally.select(F.col("pivot").alias("u"), F.col("node").alias("v"), "keys"), "star-pairs")
     likeliest = pairs.groupBy("v").agg(F.max_by("u", F.struct("keys", "u")).alias("u"))
-    links = stage(link_pairs(docs, nodes, likeliest.select("u", "v"), size, percent), "links")
+    possible = possible_pairs(nodes, likeliest.select("u", "v"), percent)
+    links = stage(link_pairs(docs, nodes, possible, size, percent), "links")
     labels = stage(connected_components(links), "labels")
     members = mixed_members(tied, labels, pairs)
     if members is not None:

@@ -11,7 +11,16 @@ from hypothesis import strategies as st
 from pricetide.llm import jaccard_join
 from pricetide.llm.components import connected_components
 from pricetide.llm.decontamination import find_items, sketch_size
-from pricetide.llm.jaccard_join import jaccard_components, prefix_size, similar, tree_pairs
+from pricetide.llm.jaccard_join import (
+    Counts,
+    count_vector,
+    folded,
+    groups_of,
+    jaccard_components,
+    prefix_size,
+    similar,
+    tree_pairs,
+)
 
 WORDS = [f"w{i}" for i in range(4000)]
 
@@ -132,24 +141,62 @@ def test_prefixes_of_linked_sets_meet(n):
     assert n - shared < prefix_size(n)
 
 
-@given(st.integers(0, 10_000))
+@given(st.integers(0, 10_000), st.booleans())
 @settings(max_examples=20, deadline=None)
-def test_tree_pairs_are_all_that_the_bound_allows(seed):
+def test_tree_pairs_are_all_that_the_bound_allows(seed, across):
     rng = np.random.default_rng(seed)
-    base = rng.poisson(rng.choice([1, 4]), (6, 64))
-    counts = np.maximum(0, np.repeat(base, 30, axis=0) + rng.integers(-1, 2, (180, 64))).astype(np.int32)
-    n = counts.sum(axis=1)
-    component = rng.integers(0, 12, 180)
-    i, j, bound = tree_pairs(counts, n, component)
-    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
-    want = set()
-    for a in range(180):
-        b = np.arange(a + 1, 180)
-        ok = similar(np.minimum(counts[a], counts[b]).sum(axis=1), n[a] + n[b]) & (component[b] != component[a])
-        want |= {(a, int(x)) for x in b[ok]}
+    sets = []
+    for size in (30, 200, 250, 260, 600, 1100):
+        base = rng.integers(0, 1 << 63, size, np.uint64)
+        for _ in range(20):
+            kept = base[rng.random(size) < rng.choice([0.8, 0.95, 1.0])]
+            sets.append(np.concatenate((kept, rng.integers(0, 1 << 63, rng.integers(1, 30), np.uint64))))
+    n = np.array([len(s) for s in sets])
+    component = rng.integers(0, 12, len(sets))
+    side = rng.random(len(sets)) < 0.4 if across else None
+    own = [count_vector(s) for s in sets]
+    i, j, bound = tree_pairs(Counts(own), n, component, side=side)
+    got = {(min(a, b), max(a, b)): k for a, b, k in zip(i.tolist(), j.tolist(), bound.tolist(), strict=True)}
+    want = {}
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            groups = min(len(own[a]), len(own[b]))
+            low = int(np.minimum(folded(own[a], groups), folded(own[b], groups)).sum())
+            assert low >= len(np.intersect1d(sets[a], sets[b]))
+            # Boxes of 256 groups may know more of unequal sets than the finer vectors.
+            coarse = int(np.minimum(folded(own[a], 256), folded(own[b], 256)).sum())
+            apart = component[a] != component[b] and (side is None or side[a] != side[b])
+            if apart and similar(min(low, coarse), n[a] + n[b]):
+                want[a, b] = low
     assert got == want and len(got) == len(i)
 
 
+def test_vectors_have_about_as_many_groups_as_shingles():
+    assert [groups_of(n) for n in (0, 1, 256, 257, 3000, 1 << 20)] == [256, 256, 256, 512, 4096, 1 << 15]
+    crowded = count_vector(np.full(300, 7, np.uint64))
+    assert crowded.dtype == np.uint32 and folded(crowded, 256)[7] == 300
+
+
+def test_long_texts_below_the_threshold_are_not_all_compared(docs, monkeypatch):
+    # Pages of one template, 120 of 3,030 words, of which any two are alike to about 0.7.
+    rng = random.Random(3)
+    template = [rng.choice(WORDS) for _ in range(3030)]
+    rows = []
+    for doc in range(120):
+        words = list(template)
+        for at in rng.sample(range(3030), 55):
+            words[at] = f"own{doc}x{at}"
+        rows.append((doc, " ".join(words)))
+    rows.append((500, rows[7][1] + " one more"))
+    likeness = [len(a & b) / len(a | b) for a, b in ((word_set(rows[i][1]), word_set(rows[i + 1][1])) for i in range(0, 100, 7))]
+    assert 0.66 < min(likeness) and max(likeness) < 0.76
+    compared, search = [], jaccard_join.link_pairs
+    monkeypatch.setattr(jaccard_join, "link_pairs", lambda *a: compared.append(a[2].count()) or search(*a))
+    got = sorted(tuple(r) for r in jaccard_components(docs(rows, 4)).collect())
+    assert got == brute_components(rows)
+    assert sum(compared) < 714
+
+
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=40))
 @settings(max_examples=6, deadline=None)
 def test_connected_components(spark, edges):
