@@ -176,34 +176,40 @@ def unpacked(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(packed, np.uint8 if len(packed) == groups_of(n) else np.uint32)
 
 
-def folded(vector: np.ndarray, groups: int) -> np.ndarray:
-    """The vector with only so many groups, a power of two."""
-    if len(vector) == groups:
-        return vector
-    whole = vector.reshape(-1, groups).sum(axis=0, dtype=np.uint32)
-    return whole.astype(np.uint8) if whole.max() < 256 else whole
+def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
+    """The vectors of the last axis with only so many groups, a power of two."""
+    if vectors.shape[-1] == groups:
+        return vectors
+    whole = vectors.reshape(*vectors.shape[:-1], -1, groups).sum(axis=-2, dtype=np.uint32)
+    return whole.astype(np.uint8) if whole.max(initial=0) < 256 else whole
 
 
 class Counts:
     """Count vectors of several nodes, compared at the coarser of two nodes' groups."""
 
-    def __init__(self, own: list[np.ndarray]) -> None:
-        self.own = own
-        self.groups = np.array([len(v) for v in own], np.int64)
-        self.coarse = self._matrix(range(len(own)), GROUPS)
-        self._known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _matrix(self, rows, groups: int) -> np.ndarray:
-        found = [folded(self.own[i], groups) for i in rows]
-        return np.stack(found) if found else np.empty((0, groups), np.uint8)
+    def __init__(self, packed: list[bytes], n: np.ndarray) -> None:
+        self.groups = np.array([groups_of(k) for k in n.tolist()], np.int64)
+        bytes_each = np.array([len(p) for p in packed], np.int64)
+        # Vectors of one length and width, as one matrix each.
+        self._own: list[tuple[np.ndarray, np.ndarray]] = []
+        for groups, size in np.unique(np.stack((self.groups, bytes_each)), axis=1).T.tolist():
+            rows = np.flatnonzero((self.groups == groups) & (bytes_each == size))
+            kind = np.uint8 if size == groups else np.uint32
+            whole = np.frombuffer(b"".join([packed[i] for i in rows]), kind)
+            self._own.append((rows, whole.reshape(len(rows), groups)))
+        self._known: dict[int, np.ndarray] = {}
+        self.coarse = self._at(GROUPS)[1]
 
     def _at(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
         """Where each node is in the matrix of those with at least so many groups."""
+        place = np.cumsum(self.groups >= groups) - 1
         if groups not in self._known:
-            has = self.groups >= groups
-            place = np.cumsum(has) - 1
-            self._known[groups] = (place, self._matrix(np.flatnonzero(has), groups))
-        return self._known[groups]
+            parts = [(rows, folded(own, groups)) for rows, own in self._own if own.shape[1] >= groups]
+            out = np.empty((int(place[-1]) + 1 if len(place) else 0, groups), np.result_type(np.uint8, *(m for _, m in parts)))
+            for rows, matrix in parts:
+                out[place[rows]] = matrix
+            self._known[groups] = out
+        return place, self._known[groups]
 
     def bounds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The most that nodes ``i`` and ``j`` can share."""
@@ -394,7 +400,7 @@ def tree_candidates(
 
     def find(rows: list[tuple], across: bool) -> list[np.ndarray]:
         node, component, n, one_side = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        counts = Counts([v for r in rows for v in r[4]])
+        counts = Counts([v for r in rows for v in r[4]], n)
         i, j, bound = tree_pairs(counts, n, component, percent, one_side if across else None)
         if partners is not None and len(i):
             # Both ways, each node's partners by what they may share of the whole.
@@ -420,8 +426,7 @@ def tree_candidates(
             group = np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1)
             edges = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1)))
             node, component, n = (c.to_numpy() for c in batch.columns[3:6])
-            # Copies, as a view would keep the whole batch.
-            counts = [unpacked(c, k).copy() for c, k in zip(batch.column(6).to_pylist(), n.tolist(), strict=True)]
+            counts = batch.column(6).to_pylist()
             one_side = batch.column(7).to_numpy() == group[:, 1]
             for start, stop in zip(edges, np.append(edges[1:], len(group)), strict=True):
                 this = tuple(group[start])
