@@ -87,12 +87,14 @@ def refresh_bronze(
     counted = rows.observe(
         "ingest", F.count(F.lit(1)).alias("all"), F.sum("corrupt").alias("corrupt")
     )
+    # Else each task would write a file for every date that its landing files have.
+    dealt = counted.hint("rebalance", "corrupt", "ingestion_date")
     # The counts come from the progress of every batch, of which Spark keeps 100.
     before = spark.conf.get(PROGRESS_KEPT)
     spark.conf.set(PROGRESS_KEPT, str(2**31 - 1))
     try:
         query = start_parquet(
-            counted, layout.bronze, layout.folder("_checkpoints/bronze"), "corrupt", "ingestion_date"
+            dealt, layout.bronze, layout.folder("_checkpoints/bronze"), "corrupt", "ingestion_date"
         )
         query.awaitTermination()
     finally:

@@ -23,6 +23,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Spark lists many folders with up to 10,000 tasks, most of them for one folder each.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "128",
 }
 
 # Large keyed streaming state lives in RocksDB instead of on the JVM heap.

@@ -10,7 +10,9 @@ from pricetide.operators.quality import QualityError
 from pricetide.operators.silver import newer_than
 from pricetide.plans import medallion
 from pricetide.schema import OBSERVATION
+from pricetide.session import configure
 from pricetide.sinks import TABLES, load_tables
+from pricetide.sources import read_landing
 
 MINUTE = 60_000
 DAY = 1440 * MINUTE
@@ -154,3 +156,26 @@ def test_increments_open_only_recent_dates_of_bronze(spark, tmp_path, land):
     )
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*ingestion_date", plan)
+
+
+def test_bronze_has_few_files_for_each_date(spark, tmp_path, land):
+    layout = medallion.Layout(str(tmp_path))
+    for i in range(40):
+        land(f"{layout.landing}/f{i}", f"s{i}", START + (i % 3) * DAY, [asset()])
+    assert medallion.refresh_bronze(spark, layout) == {"rows": 40, "quarantined": 0}
+    assert medallion.read_bronze(spark, layout).count() == 40
+    assert len(list((tmp_path / "bronze").rglob("*.parquet"))) == 3
+
+
+def test_many_landing_folders_are_listed_by_few_tasks(spark, tmp_path, land):
+    layout = medallion.Layout(str(tmp_path))
+    for i in range(200):
+        land(f"{layout.landing}/f{i}", "s", START, [asset()])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "list the folders")
+    try:
+        assert len(read_landing(configure(spark), layout.landing).inputFiles()) == 200
+        stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+        assert 0 < max(tracker.getStageInfo(s).numTasks for s in stages) <= 128
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
