@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricetide.session import stage
+from pricetide.session import observed_counts, stage
 
 NONE = "none"
 FEATURES = 1 << 14
@@ -19,8 +19,8 @@ FEATURES = 1 << 14
 NEGATIVES = 4000
 # Confirmed if a template has at least this share of its word triples in the paragraph.
 TEMPLATE_SHARE = 0.8
-# A licence is believed from the score that at most this share of the held-out paragraphs
-# of no family reaches, and that makes it likelier than none.
+# A licence is believed from the score that at most this share of all paragraphs of no
+# family, in documents not trained on, goes above, and that makes it likelier than none.
 FALSE_RATE = 0.001
 LIKELIER = 0.5
 # Below this score nothing is compared with the templates.
@@ -166,7 +166,7 @@ def training_rows(docs: DataFrame, templates: DataFrame, negatives: int = NEGATI
     count = templates.count()
     # Each of the first paragraphs lends its words to the template of the same number.
     lent = numbered.filter(F.col("n") <= 20 * count).select(
-        F.pmod("n", F.lit(count)).alias("template"), "n", "words", F.slice("words", 1, 8).alias("lent")
+        F.pmod("n", F.lit(count)).alias("template"), "n", "doc_id", "words", F.slice("words", 1, 8).alias("lent")
     ).withColumnRenamed("words", "around")
     half = (WINDOW - 36) // 2
     before, after = F.slice("around", 1, half), F.slice("around", half + 1, half)
@@ -178,10 +178,11 @@ def training_rows(docs: DataFrame, templates: DataFrame, negatives: int = NEGATI
         .alias("words"),
         "label",
         F.col("n").alias("n"),
+        "doc_id",
     )
-    plain = templates.select("words", "label", F.lit(1).alias("n"))
+    plain = templates.select("words", "label", F.lit(1).alias("n"), F.lit(None).cast("long").alias("doc_id"))
     # What templates' own first words begin with is no licence yet.
-    rest = numbered.select("words", F.lit(0).alias("label"), "n")
+    rest = numbered.select("words", F.lit(0).alias("label"), "n", "doc_id")
     return stage(plain.unionByName(amid).unionByName(rest), "licence-training")
 
 
@@ -205,11 +206,26 @@ def scored(model: LogisticRegressionModel, df: DataFrame) -> DataFrame:
     )
 
 
-def threshold(model: LogisticRegressionModel, rows: DataFrame) -> float:
-    """The score that paragraphs of no family seldom reach, from rows not trained on."""
-    held = rows.filter("label = 0 AND n % 4 = 0").select("words")
-    high = scored(model, held).agg(F.percentile("score", 1 - FALSE_RATE)).first()[0]
-    return max(high or 0.0, LIKELIER)
+def threshold(likely: DataFrame, templates: DataFrame, n_held: int) -> float:
+    """The score that paragraphs of no family seldom reach: of all ``n_held`` paragraphs of
+    documents not trained on, the least score above which lies at most ``FALSE_RATE``.
+
+    ``likely`` has every one of them that scores ``LEAST_SCORE`` or more; of the others only
+    the number matters. One that is likelier than none and has a template's word triple may
+    state a licence, and is left out.
+    """
+    known = [row[0] for row in templates.select(F.explode("triples")).distinct().collect()]
+    high = likely.filter(F.col("held") & (F.col("score") >= LIKELIER))
+    cases = stage(
+        high.select("score", F.arrays_overlap(triples(F.col("words")), F.lit(known)).alias("stated")), "licence-cases"
+    )
+    counts = cases.groupBy("stated").count().collect()
+    n_stated, n = (sum(r["count"] for r in counts if r["stated"] is stated) for stated in (True, False))
+    # The rank from the highest, from 0, in whole numbers of a thousandth.
+    rank = (n_held - n_stated) * round(FALSE_RATE * 1000) // 1000
+    if rank >= n:
+        return LIKELIER
+    return cases.filter("NOT stated").agg(F.expr(f"percentile_disc({(n - rank - 0.5) / n}D) WITHIN GROUP (ORDER BY score)")).first()[0]
 
 
 def compared(likely: DataFrame, templates: DataFrame, believed: float) -> DataFrame:
@@ -313,8 +329,14 @@ def scan_licenses(
     rows = training_rows(docs, templates, negatives)
     model = train(rows)
     parts = paragraphs(docs.withColumn("row", F.monotonically_increasing_id()))
-    likely = stage(scored(model, parts).filter(F.col("score") >= LEAST_SCORE), "licence-likely")
-    found = without_repeats(compared(likely, templates, threshold(model, rows)))
+    # At most as many ids as there are negatives.
+    taught = [r[0] for r in rows.filter("label = 0 AND n % 4 != 0 AND doc_id IS NOT NULL").select("doc_id").distinct().collect()]
+    held = ~F.coalesce(F.col("doc_id").isin(taught), F.lit(False))
+    counted = Observation("paragraphs")
+    every = parts.withColumn("held", held).observe(counted, F.coalesce(F.sum(F.col("held").cast("long")), F.lit(0)).alias("held"))
+    likely = stage(scored(model, every).filter(F.col("score") >= LEAST_SCORE), "licence-likely")
+    believed = threshold(likely, templates, observed_counts(counted, "held")["held"])
+    found = without_repeats(compared(likely, templates, believed))
     return found.select(
         "doc_id",
         F.col("first").alias("paragraph"),

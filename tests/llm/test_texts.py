@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.ml.feature import HashingTF
 
+from pricetide.llm import license_scan
 from pricetide.llm.html_extract import extract_pages, main_text
 from pricetide.llm.language_id import grams, identify_languages, is_held_out, ranked
 from pricetide.llm.license_scan import (
@@ -434,6 +435,34 @@ def test_ranges_of_ids(spark, n):
     assert found == {x: sum(c <= x for c in cuts) for x in numbers}
 
 
+def test_the_believed_score_counts_every_paragraph_not_trained_on(spark, docs, monkeypatch):
+    seen = []
+    known = license_scan.threshold
+
+    def noted(likely, templates, n_held):
+        seen.append(n_held)
+        return known(likely, templates, n_held)
+
+    monkeypatch.setattr(license_scan, "threshold", noted)
+    # Eight documents of 30 paragraphs; at most one of each is drawn, and every fourth is not trained on.
+    texts = [(i, "\n\n".join(f"word{i} thing{j} other{j % 7} stuff" for j in range(30))) for i in range(8)]
+    assert scan_licenses(docs(texts)).count() == 0
+    assert len(seen) == 1 and seen[0] >= 2 * 30 and seen[0] % 30 == 0
+
+
+def test_at_most_the_false_rate_of_paragraphs_is_above_the_believed_score(spark):
+    cases = [(True, 0.6 + i / 1000, "a few plain words") for i in range(40)]
+    stated = [(True, 0.99, "licensed under the mit license") for _ in range(50)]
+    taught = [(False, 0.98, "a few plain words") for _ in range(50)]
+    likely = spark.createDataFrame([(h, s, t.split()) for h, s, t in cases + stated + taught], "held boolean, score double, words array<string>")
+    templates = template_table(spark)
+    for n_held, above in ((10_050, 10), (1_049, 0), (39_050, 39)):
+        believed = license_scan.threshold(likely, templates, n_held)
+        assert sum(s > believed for _, s, _ in cases) == above
+    assert license_scan.threshold(likely, templates, 41_050) == license_scan.LIKELIER
+    assert license_scan.threshold(likely.limit(0), templates, 0) == license_scan.LIKELIER
+
+
 def test_licence_scores_are_those_of_the_weights(spark):
     """Every score once more from the fitted weights, feature by feature."""
     documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
