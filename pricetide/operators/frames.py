@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pricetide.schema import OBS, Cols
 from pricetide.session import stage
 
-ROWS_PER_CHUNK = 4_000_000
+# So few that a handful of symbols gives work to all tasks, and many against an hour's rows.
+ROWS_PER_CHUNK = 250_000
 CELL_SECONDS = 3600
 
 AddColumns = Callable[[DataFrame, WindowSpec], DataFrame]

@@ -76,3 +76,21 @@ def test_any_shape(obs, rows, rows_per_chunk):
         obs([(s, s, m, float(p)) for s, m, p in rows]), rows_per_chunk
     )
     assert plain == chunked
+
+
+def test_half_a_million_rows_of_one_symbol_are_cut_by_default(spark):
+    """Else a handful of symbols keeps a handful of tasks busy."""
+    n = 2 * frames.ROWS_PER_CHUNK
+    assert n <= 500_000
+    rows = spark.range(n).selectExpr(
+        "'s' AS symbol", "cast(id AS string) AS asset_id", "cast(id % 97 AS double) AS price",
+        "timestamp_seconds(1704067200 + id) AS observed_at",
+    )
+    sizes = []
+
+    def add(df, window):
+        sizes.append("_chunk" in df.columns)
+        return df
+
+    frames.over_rows(rows, add, 1)
+    assert sizes == [True]
