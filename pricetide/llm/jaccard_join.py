@@ -396,12 +396,14 @@ def tree_candidates(
     members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, partners: int | None
 ) -> DataFrame:
     """Pairs ``u``, ``v`` of different components that the groups' trees let through; with
-    ``partners`` only so many likeliest ones of each node."""
+    ``partners`` only so many likeliest ones of each node. A row with a ``key`` instead
+    names a group of which pairs were left out for that."""
 
-    def find(rows: list[tuple], across: bool) -> list[np.ndarray]:
+    def find(rows: list[tuple], across: bool) -> tuple[np.ndarray, np.ndarray, bool]:
         node, component, n, one_side = (np.concatenate([r[i] for r in rows]) for i in range(4))
         counts = Counts([v for r in rows for v in r[4]], n)
         i, j, bound = tree_pairs(counts, n, component, percent, one_side if across else None)
+        every = len(i)
         if partners is not None and len(i):
             # Both ways, each node's partners by what they may share of the whole.
             one, other = np.concatenate((i, j)), np.concatenate((j, i))
@@ -412,15 +414,17 @@ def tree_candidates(
             best = order[at - np.maximum.accumulate(np.where(new, at, 0)) < partners]
             kept = np.unique(best % len(i))
             i, j = i[kept], j[kept]
-        return [np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]
+        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), len(i) < every
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         current: tuple | None = None
 
         def result() -> pa.RecordBatch:
-            columns = [pa.array(x, pa.int64()) for x in find(held, current[1] != current[2])]
-            return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
+            u, v, cut = find(held, current[1] != current[2])
+            more = [None] * cut
+            columns = [[*u.tolist(), *more], [*v.tolist(), *more], [None] * len(u) + [current[0]] * cut]
+            return pa.RecordBatch.from_arrays([long_array(x) for x in columns], names=["u", "v", "key"])
 
         for batch in slices(batches, BLOCK_NODES):
             group = np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1)
@@ -458,7 +462,7 @@ def tree_candidates(
         .repartition("key", "first", "second")
         .sortWithinPartitions("key", "first", "second")
     )
-    return full.mapInArrow(run, "u long, v long").distinct()
+    return full.mapInArrow(run, "u long, v long, key long").distinct()
 
 
 def jaccard_components(
@@ -505,12 +509,17 @@ def jaccard_components(
         for partners in (FIRST_PARTNERS, None):
             found = tree_candidates(members, labels, nodes, percent, partners)
             found = stage(found.join(tested, ["u", "v"], "left_anti"), "candidates")
-            if found.isEmpty():  # of the likeliest partners; the others are still untested
-                continue
-            more = stage(link_pairs(docs, nodes, found, size, percent), "links")
-            links = links.union(more)
-            labels = stage(connected_components(links), "labels")
-            tested = tested.union(found)
+            new = found.filter("key IS NULL").select("u", "v")
+            if not new.isEmpty():
+                more = stage(link_pairs(docs, nodes, new, size, percent), "links")
+                links = links.union(more)
+                labels = stage(connected_components(links), "labels")
+                tested = tested.union(new)
+            # Links only join components: a group of which no pair was left out has no others.
+            rest = found.filter("key IS NOT NULL").select("key").distinct()
+            if rest.isEmpty():
+                break
+            members = members.join(rest, "key", "left_semi")
     least = (
         nodes.select("node", "doc_id")
         .join(labels, "node", "left")

@@ -110,6 +110,16 @@ def test_an_empty_round_of_likeliest_partners_does_not_end_the_search(docs, monk
     assert got == brute_components(rows) and rounds == [0, None]
 
 
+def test_groups_of_which_no_pair_was_left_out_are_searched_once(docs, monkeypatch):
+    for name, value in (("BLOCK_NODES", 5), ("FREQUENT", 2), ("DRAWN", 1), ("SALTS", 3), ("FIRST_PARTNERS", 1000)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rounds, search = [], jaccard_join.tree_candidates
+    monkeypatch.setattr(jaccard_join, "tree_candidates", lambda *a: rounds.append(a[-1]) or search(*a))
+    rows = corpus(9, bases=12, most=60)
+    got = sorted(tuple(r) for r in jaccard_components(docs(rows, 4)).collect())
+    assert got == brute_components(rows) and rounds == [1000]
+
+
 def test_a_chain_of_edits_is_one_component(docs):
     rng = random.Random(5)
     words, rows = [rng.choice(WORDS) for _ in range(100)], []
