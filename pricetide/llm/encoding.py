@@ -29,6 +29,8 @@ NOT_LATIN = re.compile("[^\\x00-\\u024f\\u2010-\\u2027]|[\\x00\\x1c-\\x1f\\x85\\
 # A byte-level tokenizer puts one space in front of what follows; the last character of
 # a run of white space before a word stands apart from the run.
 SPACED = re.compile(r"[ ]?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+# What of these there is in ASCII.
+NOT_LATIN_ASCII = ("\0", "\x1c", "\x1d", "\x1e", "\x1f")
 END_OF_WORD = "\0"
 
 
@@ -73,6 +75,13 @@ def token_bytes(config: dict) -> dict[bytes, int]:
     return {as_bytes(t): i for t, i in config["model"]["vocab"].items() if t not in special}
 
 
+def is_latin(text: str) -> bool:
+    """No match of ``NOT_LATIN``; ASCII texts are told apart without going through them by it."""
+    if text.isascii():
+        return not any(c in text for c in NOT_LATIN_ASCII)
+    return not NOT_LATIN.search(text)
+
+
 class ChunkEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
@@ -135,8 +144,8 @@ class ChunkEncoder:
         """The ids of a text whose words are encoded one by one."""
         words = WORD_PIECES.findall(text.lower())
         found = list(map(self.known.get, words))
-        if None in found:
-            new = [at for at, ids in enumerate(found) if ids is None]
+        new = [at for at, ids in enumerate(found) if ids is None]
+        if new:
             self.learn(list({words[at] for at in new}))
             for at in new:
                 found[at] = self.known[words[at]]
@@ -145,7 +154,7 @@ class ChunkEncoder:
     def encode(self, text: str) -> np.ndarray:
         if (
             not self.chunkable
-            or NOT_LATIN.search(text)
+            or not is_latin(text)
             or ("<|" in text and any(s in text for s in self.special))
         ):
             return self.whole(text)

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pricetide.llm.encoding import Tokenizer, encoder, tokenizer_path
+from pricetide.llm.encoding import NOT_LATIN, Tokenizer, encoder, is_latin, tokenizer_path
 from pricetide.llm.packing import best_fit, cut_lengths, pack_documents, pack_sizes
 from pricetide.llm.token_binary import (
     BLOCK,
@@ -43,6 +43,13 @@ def test_ids_are_the_library_s(text):
     assert encoder(tokenizer_path(WORD)).encode(text).tolist() == WORD_IDS(text)
 
 
+def test_what_is_latin_of_every_character():
+    for c in map(chr, [*range(0x3000), 0xD7FF, 0xE000, 0xFFFF, 0x1F389]):
+        for text in (c, f"a{c}b", f"é{c}"):
+            assert is_latin(text) == (NOT_LATIN.search(text) is None)
+    assert is_latin("")
+
+
 @given(TEXTS)
 @settings(max_examples=200, deadline=None)
 def test_every_prefix_has_its_exact_count(text):
