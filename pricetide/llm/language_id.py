@@ -190,7 +190,7 @@ def identify_languages(
         ids = batch.column(0)
         found = [profiles.value.predict(t) for t in strings(batch.column(1))]
         out = [
-            *batch.columns[2:],
+            *(batch.column(at) for at in places),
             ids,
             pa.array([i is not None and is_held_out(i) for i in ids.to_pylist()], pa.bool_()),
             pa.array([f[0] for f in found], pa.string()),
@@ -199,8 +199,11 @@ def identify_languages(
         return pa.RecordBatch.from_arrays(out, schema=to_arrow_schema(schema))
 
     new = "doc_id long, held_out boolean, lang_pred string, score double"
-    carried = df.select(*columns).schema.fields
-    schema = StructType([*carried, *StructType.fromDDL(new).fields])
-    carried = [df[c].alias(f"_c{i}") for i, c in enumerate(columns)]
+    fields = df.select(*columns).schema.fields
+    schema = StructType([*fields, *StructType.fromDDL(new).fields])
+    # The text goes to Python once, even if it is carried as well.
+    others = [c for c in columns if c != text]
+    places = [1 if c == text else 2 + others.index(c) for c in columns]
+    carried = [df[c].alias(f"_c{i}") for i, c in enumerate(others)]
     docs = df.select(df[doc_id].cast("long").alias("_id"), df[text].alias("_text"), *carried)
     return map_arrow(docs, rows, schema)

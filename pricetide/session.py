@@ -17,6 +17,10 @@ SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 BYTES_PER_PARTITION = 128 << 20
 PARQUET_EXPANSION = 4
 
+# Rows of an Arrow batch, which the JVM and the Python worker of a task each hold whole.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+MOST_ARROW_ROWS = 1000
+
 # Runtime settings every job relies on. ANSI mode stays at Spark's default (on).
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -88,6 +92,16 @@ def sized_shuffles(
         spark.conf.set(SHUFFLE_PARTITIONS, before)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have at most ``MOST_ARROW_ROWS`` rows in an Arrow batch from now on.
+
+    Results come as lazy tables, so the setting stays; a lower one is left as it is. Zero
+    and negative numbers are no bound.
+    """
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= MOST_ARROW_ROWS:
+        spark.conf.set(ARROW_ROWS, str(MOST_ARROW_ROWS))
+
+
 def is_local(spark: SparkSession) -> bool:
     """Whether driver and executors are one process."""
     master = spark.conf.get("spark.master", "local")

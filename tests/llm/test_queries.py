@@ -6,6 +6,7 @@ import html
 import re
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ import corpus_pipeline
 from check import compare, connect
 from pricetide.llm.language_id import has_letter
 from pricetide.llm.queries import ORACLE, QUERIES
+from pricetide.session import ARROW_ROWS, MOST_ARROW_ROWS, bound_batches
 from test_similarity import brute_components, word_set
 from test_texts import brute_lines
 from test_tokens import check_packing
@@ -99,3 +101,26 @@ def test_odd_rows_through_all_stages(spark, odd, tmp_path):
     # three words is a whole sequence, which no longer text has.
     assert {r["doc_id"] for r in pieces} == {4, 5, 6, 7, None}
     assert sum(r["doc_id"] == 4 for r in pieces) == 1
+
+
+def test_every_stage_bounds_its_batches(spark, docs, tmp_path):
+    table = docs([(i, f"text number {i} of some words") for i in range(3)])
+    spark.createDataFrame([(1, "some item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = spark.conf.get(ARROW_ROWS)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    try:
+        for _, function in corpus_pipeline.STAGES:
+            for unbounded in ("10000", "0"):
+                spark.conf.set(ARROW_ROWS, unbounded)
+                function(spark, table, str(tmp_path))
+                most = spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+                assert most == MOST_ARROW_ROWS
+        spark.conf.set(ARROW_ROWS, "7")
+        bound_batches(spark)
+        assert spark.conf.get(ARROW_ROWS) == "7"
+    finally:
+        spark.conf.set(ARROW_ROWS, before)

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.ml.feature import HashingTF
 
-from pricetide.llm import license_scan
+from pricetide.llm import language_id, license_scan
 from pricetide.llm.html_extract import extract_pages, main_text
 from pricetide.llm.language_id import grams, identify_languages, is_held_out, ranked
 from pricetide.llm.license_scan import (
@@ -171,6 +171,18 @@ def test_languages_of_odd_rows(odd, docs, spark):
     assert {r["lang_pred"] for r in identify_languages(nothing).collect()} == {"und"}
 
 
+def test_a_carried_text_goes_to_python_once(odd, monkeypatch):
+    sent = []
+    real = language_id.map_arrow
+    monkeypatch.setattr(language_id, "map_arrow", lambda df, *rest: sent.append(df) or real(df, *rest))
+    names = ("n_chars", "text", "source")
+    found = identify_languages(odd, columns=names)
+    assert [f.name for f in sent[-1].schema.fields if f.dataType.typeName() == "string"] == ["_text", "_c1"]
+    assert found.columns == [*names, "doc_id", "held_out", "lang_pred", "score"]
+    want = sorted(map(tuple, odd.select(*names).collect()), key=str)
+    assert sorted((tuple(r)[:3] for r in found.collect()), key=str) == want
+
+
 def test_the_training_bound_holds_for_each_language(docs):
     rows = [(i, f"abc {i}", "aa") for i in range(400)] + [(1000 + i, "xyz xyz", "bb") for i in range(3)]
     found = identify_languages(docs(rows), train_docs=5).collect()
