@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.components import connected_components
-from pricetide.llm.decontamination import FILTER_BITS, hash_filter, passes, words
+from pricetide.llm.decontamination import hash_filter, passes, words
 from pricetide.llm.encoding import long_array
 from pricetide.llm.text import SHINGLE_WORDS, SIMILARITY_PERCENT, map_arrow, shingles, slices, utf8
 from pricetide.session import stage
@@ -38,6 +38,8 @@ MOST_GROUPS = 1 << 15
 # A shingle in this many of the drawn documents counts as frequent; one in DRAWN is drawn.
 FREQUENT = 3
 DRAWN = 16
+# Frequent shingles that the bitmap takes, the most frequent first: a quarter of its bits.
+MOST_FREQUENT = 1 << 22
 # A frequent key's nodes are split into so many groups, each with its own pivot.
 SALTS = 64
 # Members of a mixed group that one task joins; larger groups become pairs of blocks.
@@ -76,20 +78,30 @@ def similar(shared, total, percent: int = SIMILARITY_PERCENT):
 def frequent_filter(docs: DataFrame, size: int) -> np.ndarray:
     """A fixed-size bitmap of shingles that many of the drawn documents have.
 
-    It only decides in which order shingles become keys, so a draw does for it.
+    It only decides in which order shingles become keys, so a draw does for it. Shingles are
+    counted by their whole hashes: in large tables so many share a bit that counts of bits
+    would call nearly all of them frequent, and every key of a frequent one is written.
     """
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = words()
         found = [shingles(t, known, size) for t in utf8(batch.column(0))]
-        bits = np.concatenate([np.empty(0, np.uint64), *found]) & np.uint64((1 << FILTER_BITS) - 1)
-        keys, counts = np.unique(bits, return_counts=True)
+        keys, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
         columns = [pa.array(keys.view(np.int64)), pa.array(counts)]
         return pa.RecordBatch.from_arrays(columns, names=["hash", "n"])
 
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(DRAWN)) == 0).select("text")
     counted = map_arrow(drawn, rows, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return hash_filter(counted.filter(F.col("n") >= FREQUENT).select("hash"))
+    frequent = stage(counted.filter(F.col("n") >= FREQUENT), "frequent")
+    bits_of_n = F.length(F.bin("n"))
+    sizes = frequent.groupBy(bits_of_n.alias("bits")).agg(F.count(F.lit(1)).alias("shingles")).collect()
+    taken, least = 0, FREQUENT
+    for bits, shingles_of in sorted(map(tuple, sizes), reverse=True):
+        if taken and taken + shingles_of > MOST_FREQUENT:
+            least = 1 << bits
+            break
+        taken += shingles_of
+    return hash_filter(frequent.filter(F.col("n") >= least).select("hash"))
 
 
 def signatures(docs: DataFrame, bitmap, size: int, percent: int) -> DataFrame:

@@ -8,19 +8,21 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pricetide.llm import jaccard_join
+from pricetide.llm import decontamination, jaccard_join
 from pricetide.llm.components import connected_components
 from pricetide.llm.decontamination import find_items, sketch_size
 from pricetide.llm.jaccard_join import (
     Counts,
     count_vector,
     folded,
+    frequent_filter,
     groups_of,
     jaccard_components,
     prefix_size,
     similar,
     tree_pairs,
 )
+from pricetide.llm.text import WordHashes, shingles
 
 WORDS = [f"w{i}" for i in range(4000)]
 
@@ -181,6 +183,25 @@ def test_tree_pairs_are_all_that_the_bound_allows(seed, across):
     assert got == want and len(got) == len(i)
 
 
+def test_rare_shingles_of_one_bit_are_not_frequent_together(docs, monkeypatch):
+    # Four to five shingles a bit, each of one text; two phrases are in three and five texts.
+    for module in (decontamination, jaccard_join):
+        monkeypatch.setattr(module, "FILTER_BITS", 15, raising=False)
+    monkeypatch.setattr(jaccard_join, "DRAWN", 1)
+    rows = [(doc, " ".join(f"w{doc}x{k}" for k in range(6000))) for doc in range(24)]
+    rows += [(100 + doc, "three of us have these words") for doc in range(3)]
+    rows += [(200 + doc, "five texts have this one line here") for doc in range(5)]
+    known = WordHashes()
+    three, five = ({int(h) & 0x7FFF for h in shingles(rows[at][1].encode(), known)} for at in (24, 27))
+
+    def bits():
+        return set(np.flatnonzero(np.unpackbits(frequent_filter(docs(rows, 4), 5), bitorder="little")).tolist())
+
+    assert bits() == three | five
+    monkeypatch.setattr(jaccard_join, "MOST_FREQUENT", len(five))
+    assert bits() == five
+
+
 def test_vectors_have_about_as_many_groups_as_shingles():
     assert [groups_of(n) for n in (0, 1, 256, 257, 3000, 1 << 20)] == [256, 256, 256, 512, 4096, 1 << 15]
     crowded = count_vector(np.full(300, 7, np.uint64))
