@@ -17,6 +17,7 @@ copies never become all their pairs.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,17 @@ def count_vector(hashes: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
 
 
+def packed(vector: np.ndarray) -> bytes:
+    """A count vector's bytes, Huffman coded: counts are small, and few of them repeat in runs."""
+    coder = zlib.compressobj(1, zlib.DEFLATED, -zlib.MAX_WBITS, strategy=zlib.Z_HUFFMAN_ONLY)
+    return coder.compress(vector.tobytes()) + coder.flush()
+
+
+def raw(coded: bytes) -> bytes:
+    """The bytes of a count vector from what ``packed`` made of it."""
+    return zlib.decompress(coded, -zlib.MAX_WBITS)
+
+
 def similar(shared, total, percent: int = SIMILARITY_PERCENT):
     """Whether sets of ``total`` elements together, ``shared`` of them in both, link."""
     return 100 * shared >= percent * (total - shared)
@@ -126,8 +138,8 @@ def signatures(docs: DataFrame, bitmap, size: int, percent: int) -> DataFrame:
                     common = passes(bits, own)
                     rare = own[~common]
                     keys = np.concatenate((rare, own[common]))[: prefix_size(len(own), percent)]
-                    packed = count_vector(own).tobytes()
-                    row = (node, len(own), packed, keys.view(np.int64), min(len(rare), len(keys)))
+                    counts = packed(count_vector(own))
+                    row = (node, len(own), counts, keys.view(np.int64), min(len(rare), len(keys)))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             nodes = pa.array(out[0], pa.uint64()).view(pa.int64())
@@ -183,9 +195,10 @@ def stars(signed: DataFrame) -> DataFrame:
     )
 
 
-def unpacked(packed: bytes, n: int) -> np.ndarray:
-    """A count vector from its bytes, in either width."""
-    return np.frombuffer(packed, np.uint8 if len(packed) == groups_of(n) else np.uint32)
+def unpacked(coded: bytes, n: int) -> np.ndarray:
+    """A count vector from what ``packed`` made of it, in either width."""
+    own = raw(coded)
+    return np.frombuffer(own, np.uint8 if len(own) == groups_of(n) else np.uint32)
 
 
 def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
@@ -199,15 +212,15 @@ def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
 class Counts:
     """Count vectors of several nodes, compared at the coarser of two nodes' groups."""
 
-    def __init__(self, packed: list[bytes], n: np.ndarray) -> None:
+    def __init__(self, vectors: list[bytes], n: np.ndarray) -> None:
         self.groups = np.array([groups_of(k) for k in n.tolist()], np.int64)
-        bytes_each = np.array([len(p) for p in packed], np.int64)
+        bytes_each = np.array([len(v) for v in vectors], np.int64)
         # Vectors of one length and width, as one matrix each.
         self._own: list[tuple[np.ndarray, np.ndarray]] = []
         for groups, size in np.unique(np.stack((self.groups, bytes_each)), axis=1).T.tolist():
             rows = np.flatnonzero((self.groups == groups) & (bytes_each == size))
             kind = np.uint8 if size == groups else np.uint32
-            whole = np.frombuffer(b"".join([packed[i] for i in rows]), kind)
+            whole = np.frombuffer(b"".join([vectors[i] for i in rows]), kind)
             self._own.append((rows, whole.reshape(len(rows), groups)))
         self._known: dict[int, np.ndarray] = {}
         self.coarse = self._at(GROUPS)[1]
@@ -413,7 +426,7 @@ def tree_candidates(
 
     def find(rows: list[tuple], across: bool) -> tuple[np.ndarray, np.ndarray, bool]:
         node, component, n, one_side = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        counts = Counts([v for r in rows for v in r[4]], n)
+        counts = Counts([raw(v) for r in rows for v in r[4]], n)
         i, j, bound = tree_pairs(counts, n, component, percent, one_side if across else None)
         every = len(i)
         if partners is not None and len(i):

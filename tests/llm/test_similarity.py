@@ -19,8 +19,10 @@ from pricetide.llm.jaccard_join import (
     groups_of,
     jaccard_components,
     prefix_size,
+    signatures,
     similar,
     tree_pairs,
+    unpacked,
 )
 from pricetide.llm.text import WordHashes, shingles
 
@@ -208,6 +210,17 @@ def test_vectors_have_about_as_many_groups_as_shingles():
     assert crowded.dtype == np.uint32 and folded(crowded, 256)[7] == 300
 
 
+def test_count_vectors_travel_in_a_third_of_their_bytes(docs):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(words)) for words in (1500, 6000)]
+    table = docs([(i, text) for i, text in enumerate(texts)])
+    bitmap = table.sparkSession.sparkContext.broadcast(np.zeros((1 << decontamination.FILTER_BITS) // 8, np.uint8))
+    for row in signatures(table, bitmap, 5, 80).collect():
+        own = count_vector(shingles(texts[row["doc_id"]].encode(), WordHashes()))
+        assert np.array_equal(unpacked(row["counts"], row["n"]), own)
+        assert 3 * len(row["counts"]) < own.nbytes
+
+
 def test_long_texts_below_the_threshold_are_not_all_compared(docs, monkeypatch):
     # Pages of one template, 120 of 3,030 words, of which any two are alike to about 0.7.
     rng = random.Random(3)
